@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, linededup
+from quern.llm import bpe, linededup, simhash
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,9 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, cast(sum(gone::int) AS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r
 """
+
+
+@register
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_near_dup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import map_arrow
+
 BLOCK_BYTES = 2 << 20
 TEXT_SLOT = "__quern_text"
 
@@ -79,7 +81,7 @@ def append_columns(
                 new = compute(values, valid)
                 yield pa.RecordBatch.from_arrays([*[block.column(i) for i in range(len(names))], *new], names=out_names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,8 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Text i is ``data[offsets[i]:offsets[i + 1] - 1]``.
     """
-    closed = pc.binary_join_element_wise(texts.cast(pa.large_string()), "", "\n")
+    empty, feed = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+    closed = pc.binary_join_element_wise(texts.cast(pa.large_string()), empty, feed)
     offsets = np.frombuffer(closed.buffers()[1], np.int64)[closed.offset : closed.offset + len(closed) + 1]
     if not len(closed):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
