@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, linededup, quality, simhash
+from quern.llm import bpe, langid, license, linededup, quality, secrets, simhash
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     judged = quality.quality_rules(docs, keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@register
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    names = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.concat(*cols))), ",")
+    n_base = F.size("places").cast("bigint")
+    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        n_base.alias("n_base"),
+        F.array_min("places.start").alias("first_word"),
+        F.array_max("places.start").alias("last_word"),
+        names("places.label").alias("base_labels"),
+        names("places.label", "blocks.label").alias("labels"),
+        F.when(n_base > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", langid.fold("doc_id") == 2)
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.BlobLedger(spark).scan(versions)
+    kinds = F.array(*[F.lit(rule.kind) for rule in secrets.RULES])
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
