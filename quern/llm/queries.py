@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, langid, license, linededup, quality, secrets, simhash
+from quern.llm import bpe, decontamination, langid, license, linededup, quality, secrets, simhash
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
     )
+
+
+@register
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
