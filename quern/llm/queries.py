@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, langid, license, linededup, quality, secrets, simhash
+from quern.llm import bpe, decontamination, langid, license, linededup, lmscore, quality, secrets, simhash
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@register
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    models = lmscore.train(lmscore.with_targets(docs, good).select("text", "is_target"))
+    return lmscore.score(docs, models, keep_text=False)
