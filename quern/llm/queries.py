@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, langid, license, linededup, lmscore, quality, secrets, simhash
+from quern.llm import bpe, decontamination, langid, license, linededup, lmscore, quality, secrets, simhash, suffixdedup
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     models = lmscore.train(lmscore.with_targets(docs, good).select("text", "is_target"))
     return lmscore.score(docs, models, keep_text=False)
+
+
+@register
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
