@@ -1,8 +1,65 @@
-"""The corpus pipeline: placeholder until its stages are in place."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns of
+documents; the last adds the tokens. Between two stages rows are written as Parquet to the
+shared folder and read again, so no stage recomputes an earlier one, whatever is lost.
+SQL can't express the stages; their tests compare them with brute force.
+
+Rejected: rows without a letter or whose best language has a posterior under one half;
+lines found in ten documents or more; all but one of each group of near-duplicates; rows
+that overlap a benchmark item. Null texts have no letter and go with the first stage; a
+text whose lines all go stays as an empty text, and empty texts are near-duplicates.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, decontamination, langid, linededup, simhash
+from quern.session import stage_table, table
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = langid.identify(docs, langid.train(docs))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+
+
+def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = linededup.line_dedup(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.bpe_decode(bpe.bpe_encode(docs, path, keep_text=False), path, text="text")
+    return decoded.withColumn("n_tokens", F.size("ids").cast("bigint")).select(*docs.columns, "n_tokens", "ids")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_frequent_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage_table(docs, name.lower().replace(" ", "-"))
+    return docs

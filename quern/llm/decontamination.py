@@ -178,3 +178,23 @@ def overlaps(
     for part in parts[1:]:
         result = result.union(part)
     return result
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, min_match: int = 13, identity: float = 0.8, limit: int = BLOCK_LIMIT
+) -> DataFrame:
+    """The rows of ``docs`` without any overlap; decided in place, without a shuffle."""
+    spark = docs.sparkSession
+    for block in benchmark_blocks(benchmark, item, item_text, limit):
+        shared = spark.sparkContext.broadcast((block.column(item_text).combine_chunks().fill_null(""), masks, min_match, identity))
+        built: list[SeedIndex] = []
+
+        def compute(rows: pa.Array, _: np.ndarray, shared=shared, built=built) -> list:
+            if not built:
+                built.append(SeedIndex(*shared.value))
+            hit = np.zeros(len(rows), bool)
+            hit[[found[0] for found in built[0].overlaps(rows)]] = True
+            return [pa.array(hit)]
+
+        docs = append_columns(docs, text, compute, [T.StructField("__hit", T.BooleanType())]).where(~F.col("__hit")).drop("__hit")
+    return docs

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.textblocks import LOWER, SPACE, append_columns, flat_bytes, without, word_spans
+from quern.llm.textblocks import LOWER, SPACE, append_columns, flat_bytes, word_spans
 from quern.session import map_arrow, stage_table
 
 #: Primes of XXH64 (fixed values).
@@ -235,17 +235,29 @@ def components(edges: DataFrame, label: str = "label") -> DataFrame:
 
 
 def class_components(prints: DataFrame, key: str) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``prints`` (``key``, fp)."""
+    """(fp, component, component_id) for each distinct fingerprint of ``prints`` (``key``, fp).
+
+    ``component`` is the component's smallest fingerprint, ``component_id`` its smallest key.
+    """
     classes = stage_table(prints.groupBy("fp").agg(F.min(key).alias("least_id")), "fingerprint-classes")
     labels = components(links(classes)).withColumnRenamed("a", "fp")
     named = classes.join(labels, "fp", "left").select("fp", "least_id", "label")
     joined = named.where("label is not null")
     least = joined.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    linked = joined.join(least, "label").select("fp", "component_id")
-    return linked.union(named.where("label is null").select("fp", F.col("least_id").alias("component_id")))
+    linked = joined.join(least, "label").select("fp", F.col("label").alias("component"), "component_id")
+    return linked.union(named.where("label is null").select("fp", "fp", F.col("least_id").alias("component_id")))
 
 
 def simhash_near_dup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``key``, ``fp`` and ``component_id`` for each row of ``docs``."""
+    """``key``, ``fp``, ``component`` and ``component_id`` for each row of ``docs``."""
     prints = stage_table(with_fingerprint(docs.select(key, text), text, "fp", shingle, keep_text=False), "fingerprints")
-    return without(prints, ["component_id"]).join(class_components(prints, key), "fp")
+    return prints.join(class_components(prints, key), "fp")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest key, of equal rows any."""
+    row = {"__k": F.xxhash64(key), "__t": F.xxhash64(text)}
+    prints = stage_table(with_fingerprint(docs.select(key, text).withColumns(row), text, "fp", shingle, keep_text=False), "fingerprints")
+    found = prints.join(class_components(prints, key), "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("component").agg(F.min(F.struct("__k", "__t")).alias("row")).select("row.*").distinct()
+    return docs.withColumns(row).join(chosen, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).drop("__k", "__t")
