@@ -42,8 +42,11 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     bounds = np.r_[0, np.cumsum([len(t) for t in closed])].astype(np.int64)
     state, found = np.zeros(len(points), np.uint32), []
     for n in range(ORDERS):
-        state = state.copy()
-        state[: len(points) - n] += (points[n:] + np.uint32(n + 1)) * PLACE[n]
+        further = np.zeros(len(points), np.uint32)
+        further[: len(points) - n] = (points[n:] + np.uint32(n + 1)) * PLACE[n]
+        for d in range(1, n + 1):
+            further[bounds[1:] - d] = 0  # an n-gram ends with its text
+        state = state + further
         h = (state ^ (state >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         found.append((h >> np.uint32(17)).astype(np.intp))
     return found, bounds
