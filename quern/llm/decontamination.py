@@ -13,20 +13,21 @@ of its total length, and each block is broadcast and run against all rows. Train
 texts are read whole, in place; nothing but the overlaps is shuffled.
 
 Defined results: null and empty texts, and items of fewer words than the shortest mask
-reaches, have no overlap; case and white space don't count; repeated rows and items are
-found each; several stretches of an item in a text give a row each; empty tables give an
-empty result. Names of further columns don't matter.
+reaches, have no overlap; letter case, white space and ASCII punctuation don't count;
+repeated rows and items are found each; several stretches of an item in a text give a row
+each; empty tables give an empty result. Names of further columns don't matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.textblocks import LOWER, SPACE, TOKEN_POWERS, append_columns, flat_bytes, flat_ranges, mixed, span_hashes, word_spans
+from quern.llm.textblocks import LOWER, SPACE, TOKEN_POWERS, WORD, append_columns, flat_bytes, flat_ranges, mixed, span_hashes, word_spans
 
 #: Masks over words: weight 8 in a span of 8 to 13, so one substitution in every stretch of some 9 words is survived.
 MASKS = ("11111111", "1110110101011", "1101011000110111", "111011001011011")
@@ -36,13 +37,13 @@ BLOCK_LIMIT = 8 << 20
 PENALTY = 3
 
 
-def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, flat, and the n + 1 word bounds of the texts."""
+def token_rows(texts: pa.Array, is_word: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words with A-Z lower-cased, flat, and the n + 1 word bounds of the texts."""
     data, offsets = flat_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = LOWER[data]
-    starts, ends = word_spans(data, ~SPACE)
+    starts, ends = word_spans(data, is_word)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
@@ -63,7 +64,7 @@ class SeedIndex:
 
     def __init__(self, texts: pa.Array, masks: tuple[str, ...], min_match: int, identity: float):
         self.masks, self.min_match, self.identity = masks, min_match, identity
-        self.tokens, self.bounds = token_rows(texts)
+        self.tokens, self.bounds = token_rows(pc.utf8_lower(texts), WORD)
         self.seeds = []
         row = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         for mask in masks:
@@ -78,7 +79,7 @@ class SeedIndex:
 
     def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, first word, first item word, length, words that agree) of each overlap."""
-        tokens, bounds = token_rows(texts)
+        tokens, bounds = token_rows(pc.utf8_lower(texts), WORD)
         row = np.repeat(np.arange(len(texts)), np.diff(bounds))
         pairs = []
         for mask, (keys, order, present) in zip(self.masks, self.seeds):
@@ -151,7 +152,6 @@ def overlaps(
 ) -> DataFrame:
     """(``key``, ``item``, start, item_start, length, matched): all overlaps of texts with items, in words."""
     spark = docs.sparkSession
-    # shortest items are found whole, by as much of a contiguous seed as they have
     parts = []
     for block in benchmark_blocks(benchmark, item, item_text, limit):
         texts = block.column(item_text).combine_chunks()

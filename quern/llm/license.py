@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.textblocks import LOWER, append_columns, blocks, byte_class, flat_bytes, span_hashes, word_spans
+from quern.llm.textblocks import LOWER, WORD, append_columns, blocks, flat_bytes, span_hashes, word_spans
 from quern.session import map_arrow
 
-WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 #: Words of a block and between the starts of two blocks; a passage of up to half a block lies whole in one.
 BLOCK_WORDS, BLOCK_STEP = 64, 32
 
