@@ -107,6 +107,8 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: White space of the word rule: blank and the controls from tab to carriage return.
 SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
+#: Word bytes of the word rule without punctuation: digits, letters A-Z and all beyond ASCII.
+WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
