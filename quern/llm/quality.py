@@ -117,17 +117,17 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 def distance() -> Column:
-    """Squared Mahalanobis distance of x0.. from the joined estimate (mu, inverse)."""
-    away = [F.col(f"x{i}") - F.get("mu", F.lit(i)) for i in range(DIM)]
+    """Squared Mahalanobis distance of __x0.. from the joined estimate (mu, inverse)."""
+    away = [F.col(f"__x{i}") - F.get("__mu", F.lit(i)) for i in range(DIM)]
     return sum(
-        (away[i] * away[j] * F.get("inverse", F.lit(i * DIM + j)) * (1 if i == j else 2) for i in range(DIM) for j in range(i, DIM)),
+        (away[i] * away[j] * F.get("__inverse", F.lit(i * DIM + j)) * (1 if i == j else 2) for i in range(DIM) for j in range(i, DIM)),
         F.lit(0.0),
     )
 
 
 def estimates(moments: DataFrame, groups: list[str], scale: float) -> DataFrame:
     """(groups, mu, inverse) from n, s0.. and s0_0.. of each group."""
-    schema = T.StructType([moments.schema[g] for g in groups] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mu", "inverse")])
+    schema = T.StructType([moments.schema[g] for g in groups] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__mu", "__inverse")])
     pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
     def run(batches):
@@ -140,35 +140,35 @@ def estimates(moments: DataFrame, groups: list[str], scale: float) -> DataFrame:
                 cov[:, i, j] = cov[:, j, i] = get(f"s{i}_{j}") / n - mu[:, i] * mu[:, j]
             inverse = np.linalg.inv(cov * scale + np.diag(np.square(FLOORS)))
             arrays = [pa.array(list(x.reshape(len(n), -1)), pa.list_(pa.float64())) for x in (mu, inverse)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(g) for g in groups], *arrays], names=[*groups, "mu", "inverse"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(g) for g in groups], *arrays], names=[*groups, "__mu", "__inverse"])
 
     return map_arrow(moments, run, schema)
 
 
 def with_estimate(rows: DataFrame, estimate: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
     """Rows joined with their group's estimate; nulls are a group like any other."""
-    theirs = estimate.select(*[F.col(g).alias(f"__{g}") for g in groups], "mu", "inverse")
+    theirs = estimate.select(*[F.col(g).alias(f"__{g}") for g in groups], "__mu", "__inverse")
     match = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
     return rows.join(theirs, match, how).drop(*[f"__{g}" for g in groups])
 
 
 def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.75, steps: int = 4) -> DataFrame:
-    """(groups, mu, inverse): minimum-covariance-determinant estimates of x0.. for each group."""
-    xs = [f"x{i}" for i in range(DIM)]
-    median = rows.groupBy(*groups).agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("mu"), F.lit(None).cast("array<double>").alias("inverse"))
+    """(groups, mu, inverse): minimum-covariance-determinant estimates of __x0.. for each group."""
+    xs = [f"__x{i}" for i in range(DIM)]
+    median = rows.groupBy(*groups).agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("__mu"), F.lit(None).cast("array<double>").alias("__inverse"))
     centred = with_estimate(rows, stage_table(median, "medians"), groups)
     spread = centred.groupBy(*groups).agg(
-        F.first("mu").alias("mu"),
-        *[F.percentile_approx(F.abs(F.col(x) - F.get("mu", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(xs)],
+        F.first("__mu").alias("__mu"),
+        *[F.percentile_approx(F.abs(F.col(x) - F.get("__mu", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(xs)],
     )
     start = [[F.lit(0.0)] * DIM for _ in range(DIM)]
     for i in range(DIM):
         start[i][i] = 1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2)
-    estimate = stage_table(spread.select(*groups, "mu", F.array(*[v for line in start for v in line]).alias("inverse")), "estimates")
+    estimate = stage_table(spread.select(*groups, "__mu", F.array(*[v for line in start for v in line]).alias("__inverse")), "estimates")
     # of a normal sample, the covariance of the nearest share is too small by this factor
     scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
     for _ in range(steps):
-        placed = with_estimate(rows, estimate, groups).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * 32).cast("int")).drop("mu", "inverse")
+        placed = with_estimate(rows, estimate, groups).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * 32).cast("int")).drop("__mu", "__inverse")
         counted = placed.groupBy(*groups, "bin").agg(F.count("*").alias("n"))
         per_group = counted.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
         need = F.ceil(F.col("total") * share)
@@ -198,9 +198,9 @@ def quality_rules(
     counted = without(docs, [c for c in added if c not in (text, *groups)])
     counted = stage_table(with_counts(counted, text, keep_text), "counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counted.withColumn("base_failed", failed).withColumns({f"x{i}": s for i, s in enumerate(statistics())})
-    sound = rows.where(~F.col("base_failed")).select(*groups, *[f"x{i}" for i in range(DIM)])
+    rows = counted.withColumn("base_failed", failed).withColumns({f"__x{i}": s for i, s in enumerate(statistics())})
+    sound = rows.where(~F.col("base_failed")).select(*groups, *[f"__x{i}" for i in range(DIM)])
     estimate = covariance_determinant(sound, list(groups), share)
     judged = with_estimate(rows, estimate, list(groups), "left")
     far = F.when(~F.col("base_failed"), distance())
-    return judged.withColumn("distance", far).withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(False))).drop("mu", "inverse", *[f"x{i}" for i in range(DIM)])
+    return judged.withColumn("distance", far).withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(False))).drop("__mu", "__inverse", *[f"__x{i}" for i in range(DIM)])

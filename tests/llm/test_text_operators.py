@@ -145,7 +145,8 @@ def test_xxh64_of_all_lengths():
 
 
 def test_quality_counts(docs, empty):
-    judged = quality.quality_rules(docs.withColumn("Kept", F.lit("clash")).withColumn("N_words", F.lit(1)))
+    judged = quality.quality_rules(docs.withColumn("Kept", F.lit("clash")).withColumn("N_words", F.lit(1)).withColumn("x0", F.lit(7)).withColumn("mu", F.lit("mine")))
+    assert judged.where("x0 = 7 and mu = 'mine'").count() == judged.count()
     for text, (n, chars, symbols, dup, repeat, failed) in by_text(judged, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").items():
         w = SPACES.findall(text or "")
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -177,10 +178,10 @@ def test_covariance_determinant_ignores_contamination(spark):
     rng = np.random.default_rng(3)
     clean, dirt = rng.normal(5, 2, (3000, quality.DIM)), rng.normal(60, 1, (600, quality.DIM))
     rows = [("g", *map(float, x)) for x in np.concatenate([clean, dirt])]
-    df = spark.createDataFrame(rows, "lang string, " + ", ".join(f"x{i} double" for i in range(quality.DIM)))
+    df = spark.createDataFrame(rows, "lang string, " + ", ".join(f"__x{i} double" for i in range(quality.DIM)))
     (r,) = quality.covariance_determinant(df, ["lang"]).collect()
-    scatter = np.linalg.inv(np.array(r["inverse"]).reshape(quality.DIM, -1))
-    assert np.abs(np.array(r["mu"]) - 5).max() < 0.3
+    scatter = np.linalg.inv(np.array(r["__inverse"]).reshape(quality.DIM, -1))
+    assert np.abs(np.array(r["__mu"]) - 5).max() < 0.3
     assert np.abs(scatter - np.diag(4 + np.square(quality.FLOORS))).max() < 1.6
     assert quality.chi2_cdf(quality.chi2_quantile(0.95, 5), 5) == pytest.approx(0.95)
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
