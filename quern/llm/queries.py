@@ -138,3 +138,39 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def license_oracle() -> str:
+    """Every block against every template, and every place against every phrase."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{t.label}', {listed(t.words.split())})" for t in license.TEMPLATES if t.phrase)
+    templates = ", ".join(f"('{t.label}', {listed(sorted(set(t.words.split())))}, {t.threshold})" for t in license.TEMPLATES if not t.phrase)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), phrases(label, phrase) AS (VALUES {phrases}
+), templates(label, tokens, threshold) AS (VALUES {templates}
+), starts AS (
+  SELECT r, words, unnest(range(len(words))) AS i FROM texts
+), places AS (
+  SELECT r, label, i FROM starts, phrases WHERE words[i + 1] = phrase[1] AND words[i + 1 : i + len(phrase)] = phrase
+), blocks AS (
+  SELECT r, words[{license.BLOCK_STEP} * b + 1 : {license.BLOCK_STEP} * b + {license.BLOCK_WORDS}] AS block
+  FROM (SELECT r, words, unnest(range(cast(ceil(len(words) / {license.BLOCK_STEP}) AS bigint))) AS b FROM texts)
+), matches AS (
+  SELECT r, label, len(list_intersect(block, tokens)) / len(tokens) AS containment FROM blocks, templates
+  WHERE len(list_intersect(block, tokens)) >= ceil(threshold * len(tokens) - 1e-9)
+), base AS (
+  SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
+), named AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS best
+  FROM (SELECT r, label, 1.0::DOUBLE AS containment FROM places UNION ALL SELECT r, label, containment FROM matches) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels, coalesce(best, 0)::DOUBLE AS score
+FROM texts LEFT JOIN base USING (r) LEFT JOIN named USING (r)
+"""
+
+
+ORACLES["op1_license_scan"] = license_oracle()

@@ -73,7 +73,10 @@ def test_oracle(spark, sf_dir, name):
     mine, theirs = QUERIES[name](spark, sf_dir).toPandas(), engine.execute(ORACLES[name]).df()
     columns = sorted(mine.columns)
     assert columns == sorted(theirs.columns)
-    listed = lambda d: sorted(map(str, d[columns].astype(object).itertuples(index=False, name=None)))
+
+    def listed(frame):
+        return sorted(tuple("-" if v is None or str(v) in ("<NA>", "nan") else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False, name=None))
+
     assert listed(mine) == listed(theirs)
 
 
