@@ -5,8 +5,8 @@ survives substitutions there. Training and benchmark texts are hashed under ever
 every place, equal hashes are joined, and each hit gives a diagonal: training place less
 benchmark place. Along a hit's diagonal the words of both texts are compared one to one,
 with substitutions allowed, and the best scoring stretch is taken. It counts as an
-overlap if at least ``min_match`` of its words agree, or all of a shorter item's, and
-these are at least ``identity`` of the stretch.
+overlap if at least ``min_match`` of its words agree, or half of the item's where that is
+fewer but still as long as a seed, and these are at least ``identity`` of the stretch.
 
 The benchmark is the stated query set: it is cut into blocks of bounded size by a check
 of its total length, and each block is broadcast and run against all rows. Training
@@ -108,7 +108,7 @@ class SeedIndex:
     def stretches(self, same: np.ndarray, item_words: int) -> list[tuple[int, int, int]]:
         """(start, end, words that agree) of the best stretch, and of the best left and right of it."""
         found, open_parts = [], [(0, len(same))]
-        need = min(self.min_match, item_words)
+        need = min(self.min_match, max(len(min(self.masks, key=len)), -(-item_words // 2)))
         while open_parts:
             low, high = open_parts.pop()
             part = same[low:high]
