@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from quern.llm.textblocks import append_columns, flat_ranges
 
 #: Distinct words that a worker remembers with their ids, before it starts anew.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 #: The published word pattern of the byte-level vocabulary (a fixed value).
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int64(1) << 40

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quern.session import map_arrow
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 TEXT_SLOT = "__quern_text"
 
 Compute = Callable[[pa.Array, np.ndarray], list]
