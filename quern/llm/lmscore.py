@@ -38,7 +38,9 @@ MODEL_SIZE = 1_000_000
 #: Weight of the bigram estimate against the unigram's.
 WEIGHT = 0.6
 #: Tokens that a task gathers before it emits their distinct n-grams with counts.
-GATHERED_TOKENS = 2_000_000
+GATHERED_TOKENS = 600_000
+#: Rows of a record batch that goes back to the JVM.
+BATCH_ROWS = 100_000
 #: Up to so many target keys are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -56,11 +58,13 @@ def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def count_ngrams(rows: DataFrame) -> DataFrame:
     """(ngram, n, target) from (text, is_target): counts in all rows and in target rows."""
 
-    def emit(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+    def emit(keys: list[np.ndarray], marks: list[np.ndarray]):
         ngram, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(inverse, minlength=len(ngram))
         target = np.bincount(inverse, weights=np.concatenate(marks), minlength=len(ngram)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ngram.view(np.int64)), pa.array(n), pa.array(target)], names=["ngram", "n", "target"])
+        for at in range(0, len(ngram), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(ngram[part].view(np.int64)), pa.array(n[part]), pa.array(target[part])], names=["ngram", "n", "target"])
 
     def run(batches):
         keys: list[np.ndarray] = []
@@ -72,10 +76,10 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                 keys += [one, two]
                 marks += [mark, mark[second]]
                 if sum(map(len, keys)) >= 2 * GATHERED_TOKENS:
-                    yield emit(keys, marks)
+                    yield from emit(keys, marks)
                     keys, marks = [], []
         if keys:
-            yield emit(keys, marks)
+            yield from emit(keys, marks)
 
     counted = map_arrow(rows, run, "ngram bigint, n bigint, target bigint")
     return counted.groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
