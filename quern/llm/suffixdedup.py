@@ -33,8 +33,8 @@ from quern.llm.decontamination import token_rows
 from quern.llm.textblocks import append_columns, flat_ranges, gram_hashes
 from quern.session import map_arrow, stage_table
 
-#: Places that share a suffix, up to which they are compared within one task.
-HOT = 5_000
+#: Places that share a suffix, up to which one task compares them: some 20 MB of windows.
+HOT = 50_000
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
