@@ -176,8 +176,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     crowded = matched.where(F.col("n") > hot).select("suffix")
     calm = compared(records.join(crowded, "suffix", "left_anti").select("suffix", "tid", "start", "hashes").repartition("suffix").sortWithinPartitions("suffix"))
     single = records.join(crowded, "suffix", "left_semi").select("tid", "start", F.posexplode("hashes").alias("i", "hash")).select("tid", (F.col("start") + F.col("i")).cast("bigint").alias("low"), "hash")
+    # a text's equal windows, as a word over and over gives them, are one row; mostly they make one run
+    single = single.groupBy("tid", "hash").agg(F.collect_list("low").alias("lows"))
     shared = single.groupBy("hash").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("hash")
-    runs = calm.union(single.join(shared, "hash", "left_semi").select("tid", "low", F.col("low").alias("high")))
+    low, high = F.array_min("lows"), F.array_max("lows")
+    parts = F.when(high - low + 1 == F.size("lows"), F.array(F.struct(low.alias("low"), high.alias("high")))).otherwise(F.transform("lows", lambda x: F.struct(x.alias("low"), x.alias("high"))))
+    runs = calm.union(single.join(shared, "hash", "left_semi").select("tid", F.inline(parts)))
     before = Window.partitionBy("tid").orderBy("low", "high")
     reach = F.max(F.col("high") + min_words).over(before.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.select("tid", "low", "high", F.coalesce(F.col("low") > reach, F.lit(True)).cast("int").alias("opens"))
