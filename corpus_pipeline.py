@@ -6,8 +6,9 @@ shared folder and read again, so no stage recomputes an earlier one, whatever is
 SQL can't express the stages; their tests compare them with brute force.
 
 Rejected: rows without a letter or whose best language has a posterior under one half;
-lines found in ten documents or more; all but one of each group of near-duplicates; rows
-that overlap a benchmark item. Null texts have no letter and go with the first stage; a
+lines found in ten documents or more; all but one of each group of near-duplicates (sets of
+five-word shingles with a Jaccard similarity of 0.8 or more, linked directly or by others);
+rows that overlap a benchmark item. Null texts have no letter and go with the first stage; a
 text whose lines all go stays as an empty text, and empty texts are near-duplicates.
 """
 
@@ -17,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontamination, langid, linededup, simhash
+from quern.llm import bpe, decontamination, langid, linededup, neardup
 from quern.session import stage_table, table
 
 ORACLE_SQL = None
@@ -34,7 +35,7 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs).select(*docs.columns)
+    return neardup.one_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("line dedup", drop_frequent_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", encode),
 ]

@@ -1,0 +1,150 @@
+"""Near-duplicates by Jaccard similarity of word shingles, found without loss.
+
+A text is the set of its distinct shingles. In one order of all shingles, two sets of
+similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, so every
+linked pair meets at such a prefix shingle. Any order gives the same links; the one used
+puts shingles of crowded hash buckets last, so that shared passages stay out of prefixes.
+Equal sets are one class. Each class is compared with the first and the last class at
+each of its prefix shingles, which joins most of a large group, and then with all others
+there that are not in its component yet. Each comparison counts the shared shingles of
+both whole sets, so a link is never an estimate; components follow from the links.
+
+Defined results: words and letter case are those of SimHash; fewer words than a shingle
+make one shingle; null texts and texts without words are one class.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.llm.decontamination import token_rows
+from quern.llm.simhash import components
+from quern.llm.textblocks import append_columns, blocks, gram_hashes, mixed, segment_sums
+from quern.session import map_arrow, stage_table
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Hash buckets, as a power of two, whose counts order the shingles.
+BUCKET_BITS = 18
+
+
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, flat and sorted, and the n + 1 bounds of the texts."""
+    tokens, bounds = token_rows(texts)
+    n_words = np.diff(bounds)
+    rows, found = [], []
+    for n in range(1, shingle + 1):
+        grams = gram_hashes(tokens, n)
+        some = np.flatnonzero(n_words >= n) if n == shingle else np.flatnonzero(n_words == n)
+        counts = n_words[some] - n + 1
+        row = np.repeat(some, counts)
+        at = bounds[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        rows.append(row)
+        found.append(grams[at])
+    row, grams = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((grams, row))
+    row, grams = row[order], grams[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])] if len(row) else np.zeros(0, bool)
+    return grams[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
+
+
+def set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(segment_sums(mixed(grams).view(np.int64), bounds).view(np.uint64) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def bucket_counts(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    def run(batches):
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for block in blocks(batch, 0):
+                counts += np.bincount(bucket_of(shingle_sets(block.column(0).fill_null(""), shingle)[0]), minlength=len(counts))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
+
+    found = map_arrow(docs.select(text), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefixes(docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(token, cls, n) for each prefix shingle of each text; n is the size of its set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text, shingle))
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch, 0):
+                grams, bounds = shingle_sets(block.column(0).fill_null(""), shingle)
+                ids, n = set_ids(grams, bounds), np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((grams, shared.value[bucket_of(grams)], row))
+                place = np.arange(len(row)) - bounds[row]
+                first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[order][first].view(np.int64)), pa.array(ids[row[first]]), pa.array(n[row[first]])], names=["token", "cls", "n"])
+
+    return map_arrow(docs.select(text), run, "token bigint, cls bigint, n bigint")
+
+
+def with_set(docs: DataFrame, text: str, shingle: int, whole: bool = False) -> DataFrame:
+    """``docs`` without the text, with ``cls``; ``whole`` adds ``grams``, the set."""
+
+    def compute(texts: pa.Array, _: np.ndarray) -> list:
+        grams, bounds = shingle_sets(texts, shingle)
+        ids = pa.array(set_ids(grams, bounds))
+        return [ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))] if whole else [ids]
+
+    fields = [T.StructField("cls", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]
+    return append_columns(docs, text, compute, fields[: 1 + whole], keep_column=False)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets have at least ``similarity``, by a count of the shared shingles."""
+    pairs = stage_table(pairs, "pairs")
+    met = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    one = rows.join(met, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("__k", "__t")).alias("row")).select("row.*")
+    sets = stage_table(with_set(docs.join(one, ["__k", "__t"], "left_semi").select("__k", "__t", text), text, shingle, whole=True).dropDuplicates(["cls"]).select("cls", "grams"), "sets")
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = F.size(F.array_intersect("a_grams", "b_grams"))
+    return both.where((1 + similarity) * same >= similarity * (F.size("a_grams") + F.size("b_grams")) - 1e-9).select("a", "b")
+
+
+def class_labels(docs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, label): for each class that has a link the smallest class it is connected with."""
+    all_posts = stage_table(prefixes(docs, text, shingle, similarity), "prefixes")
+    ends = all_posts.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("low"), F.max(F.struct("cls", "n")).alias("high")).where("low.cls <> high.cls")
+    posts = stage_table(all_posts.join(ends, "token").distinct(), "shared-prefixes")
+    near = lambda n, m: (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)
+    star = posts.select("cls", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("cls") != F.col("end.cls")).where(near(F.col("n"), F.col("end.n")))
+    star = star.select(F.least("cls", "end.cls").alias("a"), F.greatest("cls", "end.cls").alias("b")).distinct()
+    edges = stage_table(verified(star, docs, rows, text, shingle, similarity), "edges")
+    labels = components(edges)
+    told = posts.select("token", "cls", "n").join(labels.withColumnRenamed("a", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    told = stage_table(told, "told-prefixes")
+    open_tokens = told.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    left = told.join(open_tokens, "token", "left_semi")
+    other = left.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("theirs"))
+    met = left.join(other, "token").where((F.col("cls") < F.col("b")) & (F.col("label") != F.col("theirs")) & near(F.col("n"), F.col("m")))
+    crossing = met.select(F.col("cls").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    return components(edges.union(verified(crossing, docs, rows, text, shingle, similarity)))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest key, of equal rows any."""
+    placed = docs.withColumns({"__k": F.xxhash64(key), "__t": F.xxhash64(text)})
+    rows = stage_table(with_set(placed.select(key, "__k", "__t", text), text, shingle), "classes")
+    labels = class_labels(placed, rows, text, shingle, similarity)
+    named = rows.join(labels.withColumnRenamed("a", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    # the smallest key first, null keys last
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "__k", "__t")
+    chosen = named.groupBy("label").agg(F.min(rank).alias("row")).select("row.__k", "row.__t")
+    return placed.join(chosen, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).drop("__k", "__t")
