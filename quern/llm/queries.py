@@ -131,8 +131,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    models = lmscore.train(lmscore.with_targets(docs, good).select("text", "is_target"))
-    return lmscore.score(docs, models, keep_text=False)
+    return lmscore.score_whole(lmscore.with_targets(docs, good))
 
 
 @register
