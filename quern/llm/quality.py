@@ -4,11 +4,11 @@ Each text gives a vector of transformed statistics. For each language and source
 location and scatter of these vectors are estimated by minimum covariance determinant:
 starting from medians and absolute deviations, concentration steps keep the ``share`` of
 rows with the smallest Mahalanobis distance and take their mean and covariance, until a
-fixed number of steps. A row is rejected if its distance from its own group's estimate
-is beyond ``cutoff``. All steps are aggregations over a narrow table of statistics, with
+fixed number of steps. A row is rejected if its squared distance from its own group's
+estimate is beyond the chi-square ``quantile``. All steps are aggregations over a narrow table of statistics, with
 partial sums before the shuffle, so a source with a third of all rows is no hot spot;
 the distance that bounds the kept share is found in a histogram of bounded size. A small
-floor of variance for each statistic keeps estimates regular where a statistic is constant.
+least variance of each statistic keeps estimates regular where a statistic is constant.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages
 and sources are groups of their own; a group of one row keeps it; repeated rows count each
@@ -138,7 +138,10 @@ def estimates(moments: DataFrame, groups: list[str], scale: float) -> DataFrame:
             cov = np.zeros((len(n), DIM, DIM))
             for i, j in pairs:
                 cov[:, i, j] = cov[:, j, i] = get(f"s{i}_{j}") / n - mu[:, i] * mu[:, j]
-            inverse = np.linalg.inv(cov * scale + np.diag(np.square(FLOORS)))
+            cov *= scale
+            own = np.einsum("nii->ni", cov)
+            own[:] = np.maximum(own, np.square(FLOORS)) * (1 + 1e-9)  # still regular where statistics go together
+            inverse = np.linalg.inv(cov)
             arrays = [pa.array(list(x.reshape(len(n), -1)), pa.list_(pa.float64())) for x in (mu, inverse)]
             yield pa.RecordBatch.from_arrays([*[batch.column(g) for g in groups], *arrays], names=[*groups, "__mu", "__inverse"])
 
@@ -163,7 +166,7 @@ def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.
     )
     start = [[F.lit(0.0)] * DIM for _ in range(DIM)]
     for i in range(DIM):
-        start[i][i] = 1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2)
+        start[i][i] = 1 / F.greatest(F.pow(1.4826 * F.col(f"d{i}"), 2), F.lit(FLOORS[i] ** 2))
     estimate = stage_table(spread.select(*groups, "__mu", F.array(*[v for line in start for v in line]).alias("__inverse")), "estimates")
     # of a normal sample, the covariance of the nearest share is too small by this factor
     scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
@@ -191,7 +194,7 @@ def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep_text: bool = True, share: float = 0.75, cutoff: float = 60.0
+    docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), keep_text: bool = True, share: float = 0.75, quantile: float = 0.999
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``distance`` (squared, null where the base rule failed) and ``kept``."""
     added = ["base_failed", "distance", "kept", *COUNTS]
@@ -202,5 +205,6 @@ def quality_rules(
     sound = rows.where(~F.col("base_failed")).select(*groups, *[f"__x{i}" for i in range(DIM)])
     estimate = covariance_determinant(sound, list(groups), share)
     judged = with_estimate(rows, estimate, list(groups), "left")
+    cutoff = chi2_quantile(quantile, DIM)
     far = F.when(~F.col("base_failed"), distance())
     return judged.withColumn("distance", far).withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(False))).drop("__mu", "__inverse", *[f"__x{i}" for i in range(DIM)])
