@@ -30,6 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Hash buckets, as a power of two, whose counts order the shingles.
 BUCKET_BITS = 18
+#: Bytes of text whose shingles a task holds at once; each byte takes some tens in arrays.
+SET_BYTES = 1 << 18
 
 
 def bucket_of(shingles: np.ndarray) -> np.ndarray:
@@ -40,10 +42,12 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     """The distinct shingles of each text, flat and sorted, and the n + 1 bounds of the texts."""
     tokens, bounds = token_rows(texts)
     n_words = np.diff(bounds)
-    rows, found = [], []
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for n in range(1, shingle + 1):
-        grams = gram_hashes(tokens, n)
         some = np.flatnonzero(n_words >= n) if n == shingle else np.flatnonzero(n_words == n)
+        if not len(some):
+            continue
+        grams = gram_hashes(tokens, n)
         counts = n_words[some] - n + 1
         row = np.repeat(some, counts)
         at = bounds[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -65,7 +69,7 @@ def bucket_counts(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            for block in blocks(batch, 0):
+            for block in blocks(batch, 0, SET_BYTES):
                 counts += np.bincount(bucket_of(shingle_sets(block.column(0).fill_null(""), shingle)[0]), minlength=len(counts))
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
@@ -82,7 +86,7 @@ def prefixes(docs: DataFrame, text: str, shingle: int, similarity: float) -> Dat
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 0):
+            for block in blocks(batch, 0, SET_BYTES):
                 grams, bounds = shingle_sets(block.column(0).fill_null(""), shingle)
                 ids, n = set_ids(grams, bounds), np.diff(bounds)
                 row = np.repeat(np.arange(len(n)), n)
@@ -103,7 +107,7 @@ def with_set(docs: DataFrame, text: str, shingle: int, whole: bool = False) -> D
         return [ids, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))] if whole else [ids]
 
     fields = [T.StructField("cls", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]
-    return append_columns(docs, text, compute, fields[: 1 + whole], keep_column=False)
+    return append_columns(docs, text, compute, fields[: 1 + whole], keep_column=False, limit=SET_BYTES)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
