@@ -1,40 +1,59 @@
 """Repeated passages by a sparse suffix array.
 
-Words are hashed. Of every ``window`` of min_words consecutive words the place with the
-smallest hash of its next ``min_words // 2`` words is retained: places selected by
-content, so equal windows retain the same place. A retained place stands for the suffix
-that starts there. Suffixes are sorted by their leading words; neighbours that share them
-and come from different texts match. Their matches are then extended left and right: all
-windows around such places are brought together, sorted by content and compared with
-their neighbours, so that a passage is reported exactly if each of its windows of
-``min_words`` words is found in another text. Overlapping windows make one span.
-
-Texts are told apart by their 64-bit hash: equal texts are one text with a number of rows,
-whose whole length is a repeated span if there are two rows or more. Only the narrow table
-of retained suffixes is sorted for all texts; only texts with a match are read again.
-A suffix shared by more than ``HOT`` places isn't gathered in one task: its windows are
-grouped one by one with partial aggregates instead, to the same result.
+Words are hashed, with letter case and ASCII punctuation left out. Of every ``spread``
+consecutive places the one with the smallest hash of its next ``seed`` words is retained:
+places selected by content, so texts that share ``seed + spread - 1`` words retain the
+same places there. A retained place stands for the suffix that starts at it. Suffixes
+are sorted by their words, by range over the whole corpus, and each is compared with its
+nearest neighbours that come from another text; what both share extends the match to the
+right. The same places are sorted again by the words before them, read backwards, which
+extends matches to the left. No neighbour further off shares more, so every run of
+``seed + spread - 1`` words or more that two texts share is covered to its last word, and
+every word covered lies in a run of at least ``seed`` words that another text has.
+Covered words with at most ``gap`` others between them make one passage, so a passage
+survives a changed word; passages of ``min_words`` words or more are the result. That is
+a little less than the 50 words looked for, as words glued to its edges don't count.
+
+Places whose seed has less than half as many different words as words are not retained:
+a word or two over and over is no passage, whoever else has it. It only counts where a
+shared run goes on through it.
+
+Extensions reach as far as the next retained place at least, so a record holds a bounded
+number of words on either side and long matches are covered from place to place. Sorting
+by range splits a suffix that very many texts share among tasks; the records at the
+borders of the tasks' ranges are compared once more by themselves. Texts are told apart
+by 96 bits of hashes, words by 32 where they are compared and by 64 in a seed, of which a
+passage has several. Equal texts are one text with a number of rows, whose whole length
+is a repeated span if there are two rows or more. Only the narrow table of retained
+suffixes is shuffled for all texts; only texts with a match are read again.
 
 Defined results: null and empty texts and those shorter than ``min_words`` have no span;
-passages repeated only within one text are no result; words are compared without regard
-to A-Z's case and white space; repeated rows count as copies, with equal or null ids too;
-an empty table gives an empty result. Names of further columns don't matter.
+passages repeated only within one text are no result; repeated rows count as copies, with
+equal or null ids too; an empty table gives an empty result. Names of further columns
+don't matter. A span may hold words of several matches with different texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.decontamination import token_rows
-from quern.llm.textblocks import append_columns, flat_ranges, gram_hashes
+from quern.llm.textblocks import WORD, append_columns, blocks, flat_ranges, gram_hashes, list_of
 from quern.session import map_arrow, stage_table
 
-#: Places that share a suffix, up to which one task compares them: some 20 MB of windows.
-HOT = 50_000
+#: Words of a seed, which a retained place must share with another text.
+SEED = 12
+#: Of so many consecutive places one is retained.
+SPREAD = 20
+#: Words that a match may be interrupted by.
+GAP = 3
+#: Least words of a passage.
+MIN_WORDS = 48
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,147 +67,211 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class Windows:
-    """Windows of ``min_words`` words of a block of texts, with the place that each retains."""
-
-    def __init__(self, texts: pa.Array, min_words: int):
-        lead = (min_words + 1) // 2
-        self.tokens, self.bounds = token_rows(texts)
-        self.keys = gram_hashes(self.tokens, lead)
-        place = sliding_argmin(self.keys, min_words - lead + 1) if len(self.tokens) >= min_words else np.zeros(0, np.int64)
+def varied(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """For each run of ``seed`` tokens whether at least half as many are different: counted by their last places."""
+    n = len(tokens) - seed + 1
+    order = np.argsort(tokens, kind="stable")
+    after = np.full(len(tokens), len(tokens) + seed)
+    same = tokens[order[1:]] == tokens[order[:-1]]
+    after[order[:-1][same]] = order[1:][same]
+    distance = after - np.arange(len(tokens))
+    # a token repeated d places on is a repeat in the runs that hold both: starts from i - (seed - 1 - d) to i
+    near = np.flatnonzero(distance < seed)
+    repeats = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(repeats, np.maximum(near + distance[near] - seed + 1, 0), 1)
+    np.add.at(repeats, near + 1, -1)
+    return np.cumsum(repeats)[:n] <= seed // 2
+
+
+class Suffixes:
+    """The retained places of a block of texts, with their seeds' hashes."""
+
+    def __init__(self, texts: pa.Array, seed: int, spread: int):
+        self.tokens, self.bounds = token_rows(pc.utf8_lower(texts), WORD)
+        empty = np.zeros(0, np.int64)
+        self.place = self.row = empty
+        self.keys = np.zeros(0, np.uint64)
+        if len(self.tokens) < seed + spread - 1:
+            return
         row = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
-        whole = np.flatnonzero(row[: len(place)] == row[min_words - 1 :][: len(place)]) if len(place) else place
-        self.start, self.place, self.row = whole, place[whole], row[whole]
-
-    def retained(self) -> tuple[np.ndarray, np.ndarray]:
-        """Retained places, once each, and the first windows that retain them."""
-        first = np.flatnonzero(np.diff(self.place, prepend=-1))
-        return self.place[first], first
+        keys = gram_hashes(self.tokens, seed)
+        keys[~varied(self.tokens, seed)] = np.iinfo(np.uint64).max
+        chosen = sliding_argmin(keys, spread)
+        whole = row[: len(chosen)] == row[seed + spread - 2 :][: len(chosen)]
+        place = np.unique(chosen[whole])
+        self.place = place[keys[place] != np.iinfo(np.uint64).max]
+        self.row, self.keys = row[self.place], keys[self.place]
 
 
-def list_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
+def text_keys(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("tid"), F.hash(text).alias("tie")]
 
 
-def with_suffixes(docs: DataFrame, text: str, min_words: int) -> DataFrame:
+def with_suffixes(docs: DataFrame, text: str, seed: int = SEED, spread: int = SPREAD) -> DataFrame:
     """``docs`` with ``n_words`` and the hashes (``suffixes``) and word numbers (``places``) of retained suffixes."""
 
     def compute(texts: pa.Array, _: np.ndarray) -> list:
-        windows = Windows(texts, min_words)
-        place, first = windows.retained()
-        row = windows.row[first]
-        counts = np.bincount(row, minlength=len(texts))
+        found = Suffixes(texts, seed, spread)
+        counts = np.bincount(found.row, minlength=len(texts))
         return [
-            pa.array(np.diff(windows.bounds)),
-            list_of(windows.keys[place].view(np.int64), counts, pa.int64()),
-            list_of((place - windows.bounds[row]).astype(np.int32), counts, pa.int32()),
+            pa.array(np.diff(found.bounds)),
+            list_of(found.keys.view(np.int64), counts, pa.int64()),
+            list_of((found.place - found.bounds[found.row]).astype(np.int32), counts, pa.int32()),
         ]
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("suffixes", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
     return append_columns(docs, text, compute, fields, keep_column=False)
 
 
-def windows_around(texts: DataFrame, min_words: int) -> DataFrame:
-    """(suffix, tid, start, hashes) from (tid, text, places): the windows that retain each of the places."""
+def context(words: np.ndarray, at: np.ndarray, step: int, width: int, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """For each of ``at`` the ``width`` words from there on in direction ``step``, four bytes each; zeros beyond its text."""
+    places = at[:, None] + step * np.arange(width)[None, :]
+    inside = (places >= low[:, None]) & (places < high[:, None])
+    found = np.where(inside, words[np.clip(places, 0, max(len(words) - 1, 0))] if len(words) else 0, 0).astype(">u4")
+    offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * width)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(found.tobytes())])
+
+
+RECORD = "suffix bigint, tid bigint, place int, after binary, before binary"
+
+
+def records(texts: DataFrame, seed: int, spread: int) -> DataFrame:
+    """(suffix, tid, place, after, before): each of ``places`` of (tid, text, places), with the words after its seed and before it."""
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                windows = Windows(batch.column("text").slice(i, 1), min_words)
-                place, first = windows.retained()
-                if not len(place):
-                    continue
-                counts = np.diff(np.r_[first, len(windows.place)])
-                wanted = np.isin(place, batch.column("places").slice(i, 1).flatten().to_numpy())
-                hashes = gram_hashes(windows.tokens, min_words)
-                first, counts = windows.start[first[wanted]], counts[wanted]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(windows.keys[place[wanted]].view(np.int64)),
-                        pa.array(np.full(len(first), batch.column("tid")[i].as_py(), np.int64)),
-                        pa.array(first.astype(np.int32)),
-                        list_of(hashes[flat_ranges(first, counts)].view(np.int64), counts, pa.int64()),
-                    ],
-                    names=["suffix", "tid", "start", "hashes"],
-                )
-
-    return map_arrow(texts, run, "suffix bigint, tid bigint, start int, hashes array<bigint>")
-
-
-def in_other_texts(hashes: np.ndarray, tids: np.ndarray) -> np.ndarray:
-    """Sort windows, compare neighbours: which windows do two texts have?"""
-    order = np.argsort(hashes)
-    opens = np.r_[True, np.diff(hashes[order]) != 0]
-    runs = np.flatnonzero(opens)
-    differ = np.minimum.reduceat(tids[order], runs) != np.maximum.reduceat(tids[order], runs)
-    result = np.zeros(len(hashes), bool)
-    result[order] = differ[np.cumsum(opens) - 1]
-    return result
-
-
-def compared(records: DataFrame) -> DataFrame:
-    """(tid, low, high): runs of windows that another text has, from records that are sorted by suffix."""
-
-    def runs(table: pa.Table) -> pa.RecordBatch:
-        lists = table.column("hashes").combine_chunks()
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        tids = table.column("tid").to_numpy()
-        start = table.column("start").to_numpy().astype(np.int64)
-        at = flat_ranges(start, counts)
-        hit = np.flatnonzero(in_other_texts(lists.flatten().to_numpy(), tids[owner])) if len(owner) else owner
-        opens = np.flatnonzero(np.r_[True, (np.diff(at[hit]) != 1) | (np.diff(owner[hit]) != 0)]) if len(hit) else hit
-        ends = np.r_[opens[1:], len(hit)] - 1 if len(hit) else hit
-        return pa.RecordBatch.from_arrays([pa.array(tids[owner[hit[opens]]]), pa.array(at[hit[opens]]), pa.array(at[hit[ends]])], names=["tid", "low", "high"])
+            for block in blocks(batch, 1, 1 << 18):
+                found = Suffixes(block.column("text").fill_null(""), seed, spread)
+                listed = block.column("places")
+                sizes = listed.value_lengths().to_numpy(zero_copy_only=False)
+                wanted = listed.flatten().to_numpy() + np.repeat(found.bounds[:-1], sizes)
+                use = np.flatnonzero(np.isin(found.place, wanted))
+                words = (found.tokens >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                tids = block.column("tid").to_numpy()
+                for part in np.array_split(use, -(-len(use) // 4096)) if len(use) else ():
+                    place, row = found.place[part], found.row[part]
+                    low, high = found.bounds[row], found.bounds[row + 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found.keys[part].view(np.int64)),
+                            pa.array(tids[row]),
+                            pa.array((place - low).astype(np.int32)),
+                            context(words, place + seed, 1, spread, low, high),
+                            context(words, place - 1, -1, spread, low, high),
+                        ],
+                        names=["suffix", "tid", "place", "after", "before"],
+                    )
+
+    return map_arrow(texts.select("tid", "text", "places"), run, RECORD)
+
+
+def shared_words(suffix: np.ndarray, tids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each of the sorted records the most words in common with a record of the same seed from another text; -1: none."""
+    n = len(tids)
+    opens = np.flatnonzero(np.r_[True, tids[1:] != tids[:-1]])
+    run = np.searchsorted(opens, np.arange(n), "right") - 1
+    closes = np.r_[opens[1:], n]
+    best = np.full(n, -1)
+    for other in (opens[run] - 1, closes[run]):
+        at = np.flatnonzero((other >= 0) & (other < n))
+        at = at[suffix[at] == suffix[other[at]]]
+        differ = (words[at] != words[other[at]]) | (words[at] == 0)
+        best[at] = np.maximum(best[at], np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1]))
+    return best
+
+
+def compared(sorted_records: DataFrame, side: str, width: int, borders: bool) -> DataFrame:
+    """(tid, place, n, suffix, words) of sorted (suffix, words, tid, place): ``n`` words are shared on that side.
+
+    With ``borders`` also the records at either end of the task's range follow, with n null
+    and all they hold: the first and the last text's, and the nearest one of another text.
+    """
+    chunk = 1 << 16
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        suffix, tids = table.column("suffix").to_numpy(), table.column("tid").to_numpy()
+        words = np.frombuffer(b"".join(table.column(side).to_pylist()), ">u4").reshape(-1, width)
+        n = shared_words(suffix, tids, words)
+        some = np.flatnonzero(n >= 0)
+        place = table.column("place").to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tids[some]), pa.array(place[some]), pa.array(n[some].astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary())],
+            names=["tid", "place", "n", "suffix", "words"],
+        )
+
+    def edge(table: pa.Table, rows: np.ndarray) -> pa.RecordBatch:
+        part = table.take(pa.array(rows)).combine_chunks()
+        column = lambda c: part.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays([column("tid"), column("place"), pa.nulls(len(rows), pa.int32()), column("suffix"), column(side)], names=["tid", "place", "n", "suffix", "words"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # the last suffix of a batch may go on in the next
-            suffix = batch.column("suffix").to_numpy()
-            last = int(np.searchsorted(suffix, suffix[-1], "left"))
-            if last and held and held[0].column("suffix")[0].as_py() == suffix[-1]:
-                last = 0
-            if last or (held and held[-1].column("suffix")[0].as_py() != suffix[0]):
-                yield runs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield runs(pa.Table.from_batches(held))
-
-    return map_arrow(records, run, "tid bigint, low bigint, high bigint")
-
-
-def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = 50, hot: int = HOT) -> DataFrame:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < chunk:
+                continue
+            tids = held.column("tid").to_numpy()
+            # the last text's records and the one before them see the next chunk too
+            turns = np.flatnonzero(tids[1:] != tids[:-1])
+            if len(turns) < 2:
+                continue
+            if first and borders:
+                yield edge(held, np.arange(turns[0] + 2))
+            first = False
+            yield told(held)
+            held = held.slice(int(turns[-2]) + 1)
+        if held is None:
+            return
+        tids = held.column("tid").to_numpy()
+        turns = np.flatnonzero(tids[1:] != tids[:-1])
+        if borders:
+            last = np.arange(turns[-1] if len(turns) else 0, len(tids))
+            lead = np.arange((turns[0] + 2) if len(turns) else len(tids)) if first else last[:0]
+            yield edge(held, np.unique(np.r_[lead, last]))
+        yield told(held)
+
+    return map_arrow(sorted_records, run, "tid bigint, place int, n int, suffix bigint, words binary")
+
+
+def extensions(found: DataFrame, side: str, width: int) -> DataFrame:
+    """(tid, place, n): words shared on one ``side`` of each place whose seed another text has."""
+    keys = ["suffix", side, "tid", "place"]
+    told = stage_table(compared(found.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys), side, width, True), f"shared-{side}")
+    keys[1] = "words"
+    # a bounded number of records from each task
+    edges = told.where("n is null").select(*keys).dropDuplicates(["tid", "place"]).coalesce(1).sortWithinPartitions(*keys)
+    again = compared(edges, "words", width, False)
+    return told.where("n is not null").select("tid", "place", "n").union(again.select("tid", "place", "n"))
+
+
+def repeated_passages(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, seed: int = SEED, spread: int = SPREAD, gap: int = GAP
+) -> DataFrame:
     """(``key``, start, n_words): the spans of each text, in words, that other texts or copies repeat."""
-    tid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).alias("__key"), tid.alias("tid"), F.col(text).alias("text"))
-    listed = stage_table(with_suffixes(rows, "text", min_words), "suffixes")
+    rows = docs.select(F.col(key).alias("__key"), *text_keys(F.col(text)), F.col(text).alias("text"))
+    listed = stage_table(with_suffixes(rows, "text", seed, spread), "suffixes")
     suffixes = listed.select("tid", F.explode(F.arrays_zip("suffixes", "places")).alias("s")).select("tid", F.col("s.suffixes").alias("suffix"), F.col("s.places").alias("place"))
-    matched = stage_table(
-        suffixes.groupBy("suffix").agg(F.count("*").alias("n"), F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("suffix", "n"), "matched-suffixes"
-    )
-    places = suffixes.join(matched.select("suffix"), "suffix", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
+    matched = stage_table(suffixes.groupBy("suffix").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("suffix"), "matched-suffixes")
+    places = suffixes.join(matched, "suffix", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
     texts = rows.groupBy("tid").agg(F.first("text").alias("text")).join(places, "tid")
-    records = stage_table(windows_around(texts.select("tid", "text", "places"), min_words), "windows")
-    crowded = matched.where(F.col("n") > hot).select("suffix")
-    calm = compared(records.join(crowded, "suffix", "left_anti").select("suffix", "tid", "start", "hashes").repartition("suffix").sortWithinPartitions("suffix"))
-    single = records.join(crowded, "suffix", "left_semi").select("tid", "start", F.posexplode("hashes").alias("i", "hash")).select("tid", (F.col("start") + F.col("i")).cast("bigint").alias("low"), "hash")
-    # a text's equal windows, as a word over and over gives them, are one row; mostly they make one run
-    single = single.groupBy("tid", "hash").agg(F.collect_list("low").alias("lows"))
-    shared = single.groupBy("hash").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("hash")
-    low, high = F.array_min("lows"), F.array_max("lows")
-    parts = F.when(high - low + 1 == F.size("lows"), F.array(F.struct(low.alias("low"), high.alias("high")))).otherwise(F.transform("lows", lambda x: F.struct(x.alias("low"), x.alias("high"))))
-    runs = calm.union(single.join(shared, "hash", "left_semi").select("tid", F.inline(parts)))
-    before = Window.partitionBy("tid").orderBy("low", "high")
-    reach = F.max(F.col("high") + min_words).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opened = runs.select("tid", "low", "high", F.coalesce(F.col("low") > reach, F.lit(True)).cast("int").alias("opens"))
-    numbered = opened.withColumn("span", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("tid", "span").agg(F.min("low").alias("start"), (F.max("high") + min_words).alias("stop"))
-    long_rows = listed.where(F.col("n_words") >= min_words).select("__key", "tid", "n_words")
-    copies = long_rows.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid")
-    single_spans = spans.join(copies, "tid", "left_anti").select("tid", "start", (F.col("stop") - F.col("start")).alias("n_words"))
-    whole = long_rows.join(copies, "tid", "left_semi").select(F.col("__key").alias(key), F.lit(0).cast("bigint").alias("start"), "n_words")
-    return long_rows.drop("n_words").join(single_spans, "tid").select(F.col("__key").alias(key), "start", "n_words").union(whole)
+    found = stage_table(records(texts, seed, spread), "records")
+    right, left = extensions(found, "after", spread), extensions(found, "before", spread)
+    reach = right.select("tid", F.col("place").cast("bigint").alias("low"), (F.col("place") + seed + F.col("n")).cast("bigint").alias("high")).union(
+        left.select("tid", (F.col("place") - F.col("n")).cast("bigint"), (F.col("place") + seed).cast("bigint"))
+    )
+    runs = reach.groupBy("tid", "low").agg(F.max("high").alias("high"))
+    before = Window.partitionBy("tid").orderBy("low")
+    so_far = F.max(F.col("high") + gap).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = runs.select("tid", "low", "high", F.coalesce(F.col("low") > so_far, F.lit(True)).cast("int").alias("opens"))
+    numbered = numbered.withColumn("span", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("tid", "span").agg(F.min("low").alias("start"), (F.max("high") - F.min("low")).alias("n_words")).where(F.col("n_words") >= min_words)
+    long_rows = listed.where(F.col("n_words") >= min_words).select("__key", "tid", "tie", "n_words")
+    copies = long_rows.groupBy("tid", "tie").agg(F.count("*").alias("n")).where("n > 1").select("tid", "tie")
+    whole = long_rows.join(copies, ["tid", "tie"], "left_semi").select(F.col("__key").alias(key), F.lit(0).cast("bigint").alias("start"), "n_words")
+    single = long_rows.join(copies, ["tid", "tie"], "left_anti").select("__key", "tid")
+    return single.join(spans, "tid").select(F.col("__key").alias(key), "start", "n_words").union(whole)

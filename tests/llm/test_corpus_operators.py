@@ -91,35 +91,121 @@ def test_golay_code():
         assert set(keys[: n[0]]) & set(keys[n[0] :]) and n.max() <= 18
 
 
-def brute_passages(rows, n: int) -> collections.Counter:
+FOLDED = re.compile("[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+")
+
+
+def folded(text: str | None) -> list[str]:
+    return FOLDED.findall((text or "").lower())
+
+
+def shared_cover(rows, n: int, seed: int) -> dict[str, list[bool]]:
+    """For each text its words that lie in a run of ``n`` words, each ``seed`` of them varied, that another text has."""
     where = collections.defaultdict(set)
-    copies = collections.Counter(t or "" for _, t, *_ in rows)
-    tokens = {t: words(t) for t in copies}
-    for t, w in tokens.items():
+    texts = {t: folded(t) for t in {t or "" for _, t, *_ in rows}}
+    for t, w in texts.items():
         for i in range(len(w) - n + 1):
             where[tuple(w[i : i + n])].add(t)
-    found = collections.Counter()
+    cover = {t: [False] * len(w) for t, w in texts.items()}
+    for run, owners in where.items():
+        if len(owners) > 1 and all(2 * len(set(run[i : i + seed])) >= seed for i in range(n - seed + 1)):
+            for t in owners:
+                w = texts[t]
+                for i in range(len(w) - n + 1):
+                    if tuple(w[i : i + n]) == run:
+                        cover[t][i : i + n] = [True] * n
+    return cover
+
+
+def joined(cover: list[bool], gap: int) -> list[tuple[int, int]]:
+    """Runs of covered words, with gaps of up to ``gap`` words closed."""
+    spans: list[list[int]] = []
+    for i, x in enumerate(cover):
+        if x and spans and i - spans[-1][1] <= gap:
+            spans[-1][1] = i + 1
+        elif x:
+            spans.append([i, i + 1])
+    return [(a, b) for a, b in spans]
+
+
+def check_passages(rows, found, seed: int, spread: int, gap: int, min_words: int) -> int:
+    """Every covered passage is in a span; every word of a span is covered by a shared seed, but for gaps. Copies are whole."""
+    sure, possible = shared_cover(rows, seed + spread - 1, seed), shared_cover(rows, seed, seed)
+    any_run = {t: v for t, v in shared_cover(rows, seed, 1).items()}
+    copies = collections.Counter(t or "" for _, t, *_ in rows)
+    spans = collections.defaultdict(collections.Counter)
+    for key, start, n in found:
+        spans[key][start, start + n] += 1
+    seen = 0
+    expected = collections.Counter(k for k, *_ in rows)
     for key, text, *_ in rows:
-        w, spans = tokens[text or ""], []
-        if copies[text or ""] > 1 and len(w) >= n:
-            spans = [[0, len(w)]]
-        else:
-            for i in range(len(w) - n + 1):
-                if len(where[tuple(w[i : i + n])]) > 1:
-                    if spans and i <= spans[-1][1]:
-                        spans[-1][1] = i + n
-                    else:
-                        spans.append([i, i + n])
-        found.update((key, a, b - a) for a, b in spans)
-    return found
-
-
-@pytest.mark.parametrize("n,hot", [(50, 5000), (9, 2), (6, 5000)])
-def test_repeated_passages(docs, corpus, empty, n, hot):
-    got = collections.Counter(tuple(r) for r in suffixdedup.repeated_passages(docs, min_words=n, hot=hot).select("doc_id", "start", "n_words").collect())
-    assert got == brute_passages(corpus, n)
-    assert len(got) > 20
+        if expected[key] > 1:
+            continue
+        t = text or ""
+        if copies[t] > 1:
+            assert dict(spans[key]) == ({(0, len(sure[t])): 1} if len(sure[t]) >= min_words else {})
+            continue
+        for a, b in joined(sure[t], gap):
+            assert b - a < min_words or any(x <= a and b <= y for x, y in spans[key])
+        for a, b in spans[key]:
+            seen += 1
+            assert b - a >= min_words and any(possible[t][a:b]) and spans[key][a, b] == 1
+            assert all(y - x <= b - a for x, y in joined(any_run[t][a:b], gap)) and joined(any_run[t][a:b], gap) == [(0, b - a)]
+    return seen
+
+
+@pytest.mark.parametrize("seed,spread,gap,min_words", [(12, 20, 3, 48), (6, 4, 0, 9), (4, 1, 1, 6)])
+def test_repeated_passages(docs, corpus, empty, seed, spread, gap, min_words):
+    got = suffixdedup.repeated_passages(docs, seed=seed, spread=spread, gap=gap, min_words=min_words)
+    assert check_passages(corpus, [tuple(r) for r in got.collect()], seed, spread, gap, min_words) > 5
     assert suffixdedup.repeated_passages(empty).count() == 0
+    clash = suffixdedup.repeated_passages(docs.withColumnsRenamed({"lang": "tid", "source": "suffix"}).withColumn("place", F.lit("x")))
+    assert clash.columns == ["doc_id", "start", "n_words"] and clash.count() > 0
+
+
+def test_passages_with_frayed_edges_and_glued_punctuation(spark):
+    """Passages of 50 to 70 words in many texts; hot ones too; clean and babbling texts stay out."""
+    rng = random.Random(3)
+    draw = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n)]
+    rows, planted = [], set()
+    passages = [draw(rng.randrange(51, 70)) for _ in range(12)]
+    for i in range(400):
+        w = draw(rng.randrange(60, 200))
+        if i % 4 == 0:
+            p = passages[0 if i % 8 else (i // 8) % 12][:]
+            glued = [x + rng.choice(["", ",", "!!", ".\n"]) for x in p]
+            glued[0], glued[-1] = "x" + glued[0], glued[-1] + "x"
+            w[30:30] = [x.upper() for x in glued] if i % 3 else glued
+            planted.add(i)
+        if i % 25 == 1:
+            w[20:20] = ["the"] * 90
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [tuple(r) for r in suffixdedup.repeated_passages(docs).collect()]
+    assert {r[0] for r in got} == planted
+    check_passages(rows, got, 12, 20, 3, 48)
+
+
+def test_borders_between_ranges(spark, monkeypatch):
+    """One suffix in all texts, sorted by many tasks: the nearest neighbour may be in another task."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(14)]
+    rows = [(i, " ".join([f"a{rng.randrange(3)}" for _ in range(rng.randrange(8))] + common + [f"z{rng.randrange(2)}" for _ in range(rng.randrange(12))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in suffixdedup.repeated_passages(docs, seed=4, spread=8, gap=0, min_words=11).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    check_passages(rows, got, 4, 8, 0, 11)
+
+
+def test_varied():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 6, 300).astype(np.uint64)
+    for seed in (2, 5, 12):
+        want = [2 * len(set(tokens[i : i + seed].tolist())) >= seed for i in range(len(tokens) - seed + 1)]
+        assert suffixdedup.varied(tokens, seed).tolist() == want
 
 
 def test_sliding_argmin():
