@@ -1,16 +1,15 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models are trained alike, one on target rows and one on all rows, the
-background, over all words and bigrams of the corpus; none is cut. Words are counted with
-a shuffle. Bigrams are not counted into a table first: each text's bigrams go, packed and
-with the text's id, to one of a number of buckets that grows with the corpus. What holds
-a bucket has all places of its bigrams, so it knows their counts, and sends their losses
-on to the texts, whose sums are added by id. Bigrams that make a fixed share of all
-tokens or more, of which there are few, are counted beforehand and broadcast, so no
-bucket is large. Of the words' counts a bounded number is broadcast, those of the most
-frequent words. If all other words occur once, so do bigrams with them, and nothing else
-is needed for these; otherwise they get their words' counts by joins. No bound changes a
-score. ``train`` and ``score`` do the same with a model in memory, for small corpora.
+background, over all words and bigrams of the corpus; none is cut, and no table of them
+is ever broadcast or gathered. Tasks take the texts in chunks. A chunk sends its distinct
+n-grams, with its own counts and sorted by key, in ranges of keys to as many buckets as
+the corpus needs for them to be of one size. A bucket adds up the counts of its n-grams,
+which are then those of the whole corpus, and sends each chunk the counts of what it had
+sent, in the same order. The chunk itself, its words as numbers, goes by the bucket's
+stage to where its counts meet it, and its texts are scored there. An n-gram makes one
+row of a chunk, however frequent it is, so a bucket has no hot key. ``train`` and
+``score`` do the same with a model in memory, for small corpora.
 
 P(w | h) = weight * c(h w) / (N P(h)) + (1 - weight) * P(w), with P(w) = (c(w) + 1) / (N + V + 1).
 Per token the losses of both models and their difference follow; a text's score is the
@@ -24,29 +23,29 @@ empty result. Input columns named like a result are replaced.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.decontamination import token_rows
-from quern.llm.textblocks import append_columns, blocks, gram_hashes, mixed
+from quern.llm.textblocks import append_columns, blocks, gram_hashes, mixed, without
 from quern.session import map_arrow, stage_table
 
-#: Words whose counts are broadcast; those of others are joined by shuffle.
-BROADCAST_WORDS = 2_000_000
-#: Bigrams that are at least this share of all tokens are counted beforehand.
-HEAVY_SHARE = 1 / 2000
-#: Tokens of the corpus for each bucket of bigrams.
-BUCKET_TOKENS = 1_000_000
+#: Tokens of a chunk of texts, and of the corpus for each bucket of n-grams.
+CHUNK_TOKENS = BUCKET_TOKENS = 2_000_000
 #: Weight of the bigram estimate against the unigram's.
 WEIGHT = 0.6
-#: Tokens that a task gathers before it emits their distinct n-grams with counts.
+#: Tokens that a task of ``train`` gathers before it emits their distinct n-grams with counts.
 GATHERED_TOKENS = 600_000
+#: Pieces of a chunk in a record batch.
+PIECES = 256
 #: Rows of a record batch that goes back to the JVM.
 BATCH_ROWS = 100_000
 #: Up to so many target keys are broadcast; more are joined by shuffle.
@@ -154,299 +153,236 @@ def score(docs: DataFrame, models: MatchedModels, text: str = "text", keep_text:
     return append_columns(docs, text, compute, fields, keep_column=keep_text)
 
 
-def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all words, the bounds of the texts, and the places of words that follow another of their text."""
-    tokens, bounds = token_rows(texts)
-    first = np.zeros(len(tokens), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
-    return tokens, bounds, np.flatnonzero(~first)
-
-
-def pair_keys(words: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(words[second - 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[second]))
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    """(heavy, ngram, n, target): all words, and with ``heavy`` the bigrams that are frequent in some chunk of texts."""
-
-    def emit(words: list, pairs: list):
-        n_tokens = sum(len(keys) for keys, _ in words)
-        for heavy, parts in ((False, words), (True, pairs)):
-            ngram, inverse = np.unique(np.concatenate([keys for keys, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, minlength=len(ngram))
-            target = np.bincount(inverse, weights=np.concatenate([mark for _, mark in parts]), minlength=len(ngram)).astype(np.int64)
-            often = np.flatnonzero(n >= HEAVY_SHARE * n_tokens) if heavy else np.arange(len(ngram))
-            for at in range(0, len(often), BATCH_ROWS):
-                part = often[at : at + BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), heavy)), pa.array(ngram[part].view(np.int64)), pa.array(n[part]), pa.array(target[part])], names=["heavy", "ngram", "n", "target"])
-
-    def run(batches):
-        words: list = []
-        pairs: list = []
-        size = 0
-        for batch in batches:
-            for block in blocks(batch, 0):
-                keys, bounds, second = word_pairs(block.column(0).fill_null(""))
-                mark = np.repeat(block.column(1).fill_null(False).to_numpy(zero_copy_only=False), np.diff(bounds))
-                words.append((keys, mark))
-                pairs.append((pair_keys(keys, second), mark[second]))
-                size += len(keys)
-                if size >= GATHERED_TOKENS:
-                    yield from emit(words, pairs)
-                    words, pairs, size = [], [], 0
-        if words:
-            yield from emit(words, pairs)
-
-    counted = map_arrow(rows, run, "heavy boolean, ngram bigint, n bigint, target bigint")
-    return counted.groupBy("heavy", "ngram").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-def count_pairs(rows: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """Counts in all rows and in target rows of the bigrams ``keys``, which are sorted."""
+KEY_BITS = 56
+
+
+def ngram_hashes(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all distinct words (even) and of bigrams (odd), by their words' hashes."""
+    shift, one = np.uint64(64 - KEY_BITS), np.uint64(1)
+    single = (mixed(words) >> shift) & ~one
+    pairs = mixed(words[first] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[second])) >> shift
+    return single, pairs | one
+
+
+class Chunk:
+    """Texts as numbers of their distinct words; ``keys`` are the sorted distinct n-grams."""
+
+    def __init__(self, words: np.ndarray, number: np.ndarray, sizes: np.ndarray, marks: np.ndarray):
+        self.words, self.number, self.sizes, self.marks = words, number, sizes, marks
+        bounds = np.r_[0, np.cumsum(sizes)]
+        self.starts = np.zeros(len(number), bool)
+        self.starts[bounds[:-1][sizes > 0]] = True
+        second = np.flatnonzero(~self.starts)
+        self.second = second
+        self.single, pairs = ngram_hashes(words, number[second - 1], number[second])
+        self.pairs, self.pair_number = np.unique(pairs, return_inverse=True)
+        self.keys = np.concatenate([self.single, self.pairs])
+        self.order = np.argsort(self.keys)
+
+    def counts(self) -> np.ndarray:
+        """Counts of the sorted keys in all texts and in target texts."""
+        mark = np.repeat(self.marks, self.sizes)
+        found = []
+        for weights in (None, mark):
+            word = np.bincount(self.number, weights=weights, minlength=len(self.words))
+            pair = np.bincount(self.pair_number, weights=None if weights is None else mark[self.second], minlength=len(self.pairs))
+            found.append(np.concatenate([word, pair])[self.order])
+        return np.stack(found).astype(np.int64)
+
+    def losses(self, counts: np.ndarray, tokens: np.ndarray, n_words: int) -> np.ndarray:
+        """Summed losses of the texts in both models, by the corpus counts of the sorted keys."""
+        own = np.empty_like(counts, dtype=np.float64)
+        own[:, self.order] = counts
+        p = ((own[:, : len(self.words)] + 1) / (tokens + n_words + 1)[:, None])[:, self.number]
+        given = p.copy()
+        history = p[:, self.second - 1] * np.maximum(tokens, 1)[:, None]
+        given[:, self.second] = WEIGHT * np.minimum(own[:, len(self.words) + self.pair_number] / history, 1) + (1 - WEIGHT) * p[:, self.second]
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.stack([np.bincount(row, weights=-np.log(x), minlength=len(self.sizes)) for x in given])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes: all low bytes, then all second bytes, and so on; compressed."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(wide[:, :width].T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8")[:, 0]
+
+
+def sent(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """(dest, chunk, bucket, a, b, c): n-grams of chunks for the buckets, and the chunks themselves (bucket -1)."""
+
+    def emit(parts: list, name: int):
+        token, sizes, marks, ids = (np.concatenate(x) for x in zip(*parts))
+        words, number = np.unique(token, return_inverse=True)
+        chunk = Chunk(words, number, sizes, marks)
+        keys, counts = chunk.keys[chunk.order], chunk.counts()
+        texts = pickle.dumps([packed(sizes), packed(marks), packed(ids.view(np.uint64))])
+        yield -1 - name, name, -1, packed(np.diff(words, prepend=np.uint64(0))), packed(number), texts
+        edges = np.searchsorted(keys, [(i << KEY_BITS) // n_buckets for i in range(n_buckets)] + [1 << KEY_BITS])
+        for bucket in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[bucket], edges[bucket + 1])
+            yield bucket, name, bucket, packed(np.diff(keys[part], prepend=np.uint64(0))), packed(counts[0, part]), packed(counts[1, part])
+
+    def batched(found):
+        held: list = []
+        for values in found:
+            held.append(values)
+            if len(held) == PIECES or values[2] < 0:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*held), [pa.int64()] * 3 + [pa.binary()] * 3)], names=["dest", "chunk", "bucket", "a", "b", "c"])
 
     def run(batches):
-        counts = np.zeros((2, len(keys)), np.int64)
+        parts: list = []
+        size, name = 0, TaskContext.get().partitionId() << 32  # the same chunks, if a task runs again
         for batch in batches:
             for block in blocks(batch, 0):
-                words, bounds, second = word_pairs(block.column(0).fill_null(""))
-                mark = np.repeat(block.column(1).fill_null(False).to_numpy(zero_copy_only=False), np.diff(bounds))
-                at, known = placed(keys, pair_keys(words, second))
-                counts[0] += np.bincount(at[known], minlength=len(keys))
-                counts[1] += np.bincount(at[known & mark[second]], minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(counts[0]), pa.array(counts[1])], names=["i", "n", "target"])
-
-    counts = np.zeros((2, len(keys)))
-    if len(keys):
-        found = map_arrow(rows, run, "i bigint, n bigint, target bigint").groupBy("i").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()
-        counts[:, found.column("i").to_numpy()] = found.column("n").to_numpy(), found.column("target").to_numpy()
-    return counts
-
-
-def placed(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each of ``wanted`` in the sorted ``keys``, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-@dataclass
-class Shared:
-    """What all tasks know: totals, the most frequent words and the heavy bigrams, with counts in both models.
-
-    ``words`` are sorted; their ``ranks`` by frequency are the places in ``counts``.
-    """
-
-    tokens: np.ndarray
-    n_words: int
-    words: np.ndarray
-    ranks: np.ndarray
-    counts: np.ndarray
-    heavy: np.ndarray
-    heavy_counts: np.ndarray
-
-    def first(self, word: np.ndarray) -> np.ndarray:
-        return (word + 1) / (self.tokens + self.n_words + 1)[:, None]
-
-    def losses(self, history: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Losses in both models of bigrams by the counts of their words and their own."""
-        given = np.minimum(pair / (self.first(history) * np.maximum(self.tokens, 1)[:, None]), 1)
-        return -np.log(WEIGHT * given + (1 - WEIGHT) * self.first(word))
-
-
-def planes(values: np.ndarray, width: int) -> np.ndarray:
-    """The low bytes of all values, then their second bytes, and so on."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.ravel()
-
+                token, bounds = token_rows(block.column(0).fill_null(""))
+                parts.append((token, np.diff(bounds), block.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64), block.column(2).to_numpy()))
+                size += len(token)
+                if size >= CHUNK_TOKENS:
+                    yield from batched(emit(parts, name))
+                    parts, size, name = [], 0, name + 1
+        if parts:
+            yield from batched(emit(parts, name))
 
-def unplaned(data: np.ndarray, width: int) -> np.ndarray:
-    wide = np.zeros((len(data) // width, 4), np.uint8)
-    wide[:, :width] = data.reshape(width, -1).T
-    return wide.view("<u4")[:, 0].astype(np.int64)
+    return map_arrow(rows.select("text", "is_target", "id"), run, "dest bigint, chunk bigint, bucket bigint, a binary, b binary, c binary")
 
 
-def packed_pairs(rows: DataFrame, shared, n_buckets: int) -> DataFrame:
-    """(bucket, texts, pairs): packed bigrams of broadcast words, from (text, is_target, id); heavy ones are left out."""
+def summed(pieces: DataFrame) -> DataFrame:
+    """(chunk, bucket, a, b, c): the corpus counts of each piece's n-grams; chunks pass unchanged."""
 
-    def emit(parts: list, ids: list):
-        pair, row = (np.concatenate([part[i] for part in parts]) for i in range(2))
-        bucket = (mixed(pair.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((pair, bucket))
-        pair, row, bucket = pair[order], row[order], bucket[order]
-        own = np.concatenate(ids)
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
-        for a, b in zip(edges[:-1], edges[1:]):
-            texts, inverse = np.unique(row[a:b], return_inverse=True)
-            data = zlib.compress(np.concatenate([planes(pair[a:b] >> 32, 4), planes(pair[a:b] & 0xFFFFFFFF, 4), planes(inverse, 4)]).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])]), pa.array([own[texts].tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["bucket", "texts", "pairs"])
+    def told(chunks: list, keys: list, counts: list):
+        sizes = np.array([len(k) for k in keys])
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        repeat = np.diff(np.r_[new, len(key)])
+        totals = []
+        for i in range(2):
+            total = np.empty(len(key), np.int64)
+            total[order] = np.repeat(np.add.reduceat(np.concatenate([c[i] for c in counts])[order], new), repeat)
+            totals.append(total)
+        ends = np.cumsum(sizes)
+        for chunk, start, end in zip(chunks, (ends - sizes).tolist(), ends.tolist()):
+            yield chunk, packed(totals[0][start:end]), packed(totals[1][start:end])
 
-    def run(batches):
-        parts: list = []
-        ids: list = []
-        size = n_texts = 0
-        for batch in batches:
-            for block in blocks(batch, 0):
-                model = shared.value
-                words, bounds, second = word_pairs(block.column(0).fill_null(""))
-                at, known = placed(model.words, words)
-                use = second[~placed(model.heavy, pair_keys(words, second))[1] & known[second] & known[second - 1]]
-                row = np.repeat(np.arange(len(block)), np.diff(bounds))[use]
-                parts.append(((model.ranks[at[use - 1]] << 32) | model.ranks[at[use]], row + n_texts))
-                ids.append(block.column(2).to_numpy())
-                n_texts += len(block)
-                size += len(words)
-                if size >= GATHERED_TOKENS:
-                    yield from emit(parts, ids)
-                    parts, ids, size, n_texts = [], [], 0, 0
-        if parts:
-            yield from emit(parts, ids)
-
-    return map_arrow(rows.select("text", "is_target", "id"), run, "bucket bigint, texts binary, pairs binary")
-
-
-def bucket_losses(packed: DataFrame, shared) -> DataFrame:
-    """(id, k, l0, l1): for texts the bigrams and summed losses found in one bucket."""
-
-    def told(texts: list, pairs: list) -> pa.RecordBatch:
-        model = shared.value
-        pair, ids = [], []
-        for own, data in zip(texts, pairs):
-            values = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1)
-            h, w, i = (unplaned(x, 4) for x in values)
-            pair.append((h << 32) | w)
-            ids.append(np.frombuffer(own, np.int64)[i])
-        pair, ids = np.concatenate(pair), np.concatenate(ids)
-        order = np.argsort(pair)
-        pair, ids = pair[order], ids[order]
-        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        size = np.diff(np.r_[new, len(pair)])
-        # an id's lowest bit tells whether the text is a target
-        n = np.stack([size, np.add.reduceat(ids & 1, new)]).astype(np.float64)
-        each = np.repeat(model.losses(model.counts[:, pair[new] >> 32], model.counts[:, pair[new] & 0xFFFFFFFF], n), size, axis=1)
-        found, inverse = np.unique(ids, return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(np.bincount(inverse)), *(pa.array(np.bincount(inverse, weights=x)) for x in each)], names=["id", "k", "l0", "l1"]
-        )
+    def batch_of(bucket: int, found: list) -> pa.RecordBatch:
+        chunk, a, b = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([bucket] * len(found), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(len(found), pa.binary())], names=["chunk", "bucket", "a", "b", "c"])
 
     def run(batches):
-        at, texts, pairs = None, [], []
+        at, chunks, keys, counts = -1, [], [], []
         for batch in batches:
-            for bucket, own, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != at and texts:
-                    yield told(texts, pairs)
-                    texts, pairs = [], []
+            for i in range(batch.num_rows):
+                bucket, chunk, a, b, c = (batch.column(x)[i].as_py() for x in ("bucket", "chunk", "a", "b", "c"))
+                if bucket != at and chunks:
+                    yield batch_of(at, list(told(chunks, keys, counts)))
+                    chunks, keys, counts = [], [], []
                 at = bucket
-                texts.append(own)
-                pairs.append(data)
-        if texts:
-            yield told(texts, pairs)
-
-    return map_arrow(packed.repartition("bucket").sortWithinPartitions("bucket"), run, "id bigint, k bigint, l0 double, l1 double")
-
-
-def rare_pairs(rows: DataFrame, shared) -> DataFrame:
-    """(pair, id, h, w, k) for each text's bigrams with a word that isn't broadcast, from (text, is_target, id)."""
+                if bucket < 0:
+                    yield batch.slice(i, 1).select(["chunk", "bucket", "a", "b", "c"])
+                else:
+                    chunks.append(chunk)
+                    keys.append(np.cumsum(unpacked(a)))
+                    counts.append((unpacked(b).astype(np.int64), unpacked(c).astype(np.int64)))
+        if chunks:
+            yield batch_of(at, list(told(chunks, keys, counts)))
+
+    return map_arrow(pieces, run, "chunk bigint, bucket bigint, a binary, b binary, c binary")
+
+
+def told_losses(counted: DataFrame, tokens: np.ndarray, n_words: int) -> DataFrame:
+    """(id, n_tokens, l0, l1) of all texts, from the chunks and their counts in order."""
+
+    def told(whole: tuple, counts: list) -> pa.RecordBatch:
+        a, b, c = whole
+        sizes, marks, ids = (unpacked(x) for x in pickle.loads(c))
+        sizes = sizes.astype(np.int64)
+        chunk = Chunk(np.cumsum(unpacked(a)), unpacked(b).astype(np.int64), sizes, marks.astype(np.int64))
+        both = np.stack([np.concatenate([unpacked(x[i]) for x in counts]) if counts else np.zeros(0) for i in range(2)])
+        sums = chunk.losses(both, tokens, n_words)
+        return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1])], names=["id", "n_tokens", "l0", "l1"])
 
     def run(batches):
+        whole, counts = None, []
         for batch in batches:
-            for block in blocks(batch, 0):
-                model = shared.value
-                words, bounds, second = word_pairs(block.column(0).fill_null(""))
-                _, known = placed(model.words, words)
-                pairs = pair_keys(words, second)
-                use = np.flatnonzero(~placed(model.heavy, pairs)[1] & ~(known[second] & known[second - 1]))
-                second, pairs = second[use], pairs[use]
-                row = np.repeat(np.arange(len(block)), np.diff(bounds))[second]
-                columns = {"pair": pa.array(pairs.view(np.int64)), "id": block.column(2).take(pa.array(row)), "h": pa.array(words[second - 1].view(np.int64)), "w": pa.array(words[second].view(np.int64))}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return map_arrow(rows, run, "pair bigint, id bigint, h bigint, w bigint").groupBy("pair", "id", "h", "w").agg(F.count("*").alias("k"))
-
-
-def rare_losses(rows: DataFrame, words: DataFrame, shared) -> DataFrame:
-    """(id, k, l0, l1) as from ``bucket_losses`` for bigrams with a word that isn't broadcast."""
-    rest = stage_table(rare_pairs(rows, shared), "rare-pairs")
-    own = rest.groupBy("pair").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("id") % 2 != 0, F.col("k")).otherwise(0)).alias("t"), F.first("h").alias("h"), F.first("w").alias("w"))
-    for x in "hw":
-        own = own.join(words.select(F.col("ngram").alias(x), F.col("n").alias(f"{x}_n"), F.col("target").alias(f"{x}_t")), x)
+            for i in range(batch.num_rows):
+                bucket, a, b, c = (batch.column(x)[i].as_py() for x in ("bucket", "a", "b", "c"))
+                if bucket < 0:
+                    if whole:
+                        yield told(whole, counts)
+                    whole, counts = (a, b, c), []
+                else:
+                    counts.append((a, b))
+        if whole:
+            yield told(whole, counts)
+
+    return map_arrow(counted, run, "id bigint, n_tokens bigint, l0 double, l1 double")
+
+
+def corpus_totals(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Tokens of all rows and of target rows, and the number of different words, from (text, is_target)."""
+
+    def emit(tokens: list, totals: np.ndarray):
+        words = np.unique(np.concatenate(tokens))
+        for at in range(0, len(words), BATCH_ROWS):
+            part = words[at : at + BATCH_ROWS].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names=["word", "n", "target"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([int(x)]) for x in totals)], names=["word", "n", "target"])
 
     def run(batches):
+        tokens: list = []
+        totals = np.zeros(2, np.int64)
         for batch in batches:
-            get = lambda c: batch.column(c).to_numpy().astype(np.float64)
-            history, word, n = (np.stack([get(a), get(b)]) for a, b in (("h_n", "h_t"), ("w_n", "w_t"), ("n", "t")))
-            found = shared.value.losses(history, word, n)
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), *map(pa.array, found)], names=["pair", "l0", "l1"])
+            for block in blocks(batch, 0):
+                token, bounds = token_rows(block.column(0).fill_null(""))
+                mark = block.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+                totals += [len(token), np.diff(bounds)[mark].sum()]
+                tokens.append(token)
+                if sum(map(len, tokens)) >= CHUNK_TOKENS:
+                    yield from emit(tokens, totals)
+                    tokens, totals = [], np.zeros(2, np.int64)
+        if tokens:
+            yield from emit(tokens, totals)
 
-    told = map_arrow(own.select("pair", "n", "t", "h_n", "h_t", "w_n", "w_t"), run, "pair bigint, l0 double, l1 double")
-    return rest.join(told, "pair").select("id", "k", (F.col("k") * F.col("l0")).alias("l0"), (F.col("k") * F.col("l1")).alias("l1"))
+    words = map_arrow(rows.select("text", "is_target"), run, "word bigint, n bigint, target bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    found = words.agg(F.count("word").alias("words"), F.sum("n").alias("n"), F.sum("target").alias("target")).first()
+    return np.array([found["n"] or 0, found["target"] or 0], np.float64), found["words"]
 
 
 def score_whole(docs: DataFrame, text: str = "text", target: str = "is_target") -> DataFrame:
     """``docs`` without text and target, with the columns of ``score`` by models of all n-grams of all rows."""
-    spark = docs.sparkSession
-    others = [c for c in docs.columns if c not in (text, target)]
+    results = ["n_tokens", "background_loss", "target_loss", "score"]
+    others = [c for c in without(docs, results).columns if c not in (text, target)]
     # equal texts share an id if their rows fall in one of 64 groups, so that no id has all rows of a large group
-    own = F.xxhash64(text, F.pmod(F.xxhash64(*others), F.lit(64)))
-    docs = docs.withColumn("__id", own.bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(F.coalesce(F.col(target), F.lit(False)).cast("bigint")))
-    rows = docs.select(F.col(text).alias("text"), F.col(target).alias("is_target"), F.col("__id").alias("id"))
-    counts = stage_table(count_words(rows.select("text", "is_target")), "words")
-    words = counts.where("not heavy").select("ngram", "n", "target")
-    totals = words.agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("target").alias("target")).first()
-    tokens = np.array([totals["n"] or 0, totals["target"] or 0], np.float64)
-    often = counts.where(F.col("heavy") & (F.col("n") >= HEAVY_SHARE * tokens[0])).select("ngram").toArrow()
-    heavy = np.sort(often.column("ngram").to_numpy().view(np.uint64))
-    # words that occur once need no counts, if all others are broadcast
-    single = words.where("n > 1").count() <= BROADCAST_WORDS
-    top = (words.where("n > 1") if single else words.orderBy(F.desc("n"), "ngram").limit(BROADCAST_WORDS)).toArrow().sort_by([("n", "descending")])
-    keys = top.column("ngram").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    known = np.stack([top.column(c).to_numpy() for c in ("n", "target")]).astype(np.float64)
-    shared = spark.sparkContext.broadcast(Shared(tokens, totals["words"], keys[order], order, known, heavy, count_pairs(rows.select("text", "is_target"), heavy)))
-    found = bucket_losses(packed_pairs(rows, shared, int(tokens[0] // BUCKET_TOKENS) + 1), shared)
-    if not single:
-        found = found.union(rare_losses(rows, words, shared))
-    sums = found.groupBy("id").agg(*[F.sum(c).alias(f"__{c}") for c in ("k", "l0", "l1")]).withColumnRenamed("id", "__id")
-
-    def compute(texts: pa.Array, _: np.ndarray) -> list:
-        """Tokens, bigrams told elsewhere, first words, and losses of the bigrams told here, with those of target texts."""
-        model = shared.value
-        words, bounds, second = word_pairs(texts)
-        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        spot, known = placed(model.words, words)
-        at, heavy = placed(model.heavy, pair_keys(words, second))
-        here = heavy | (single & ~(known[second] & known[second - 1]))
-        own = second[here]
-        sums = []
-        for is_target in (0, 1):
-            counts = np.full((2, len(words)), [[1.0], [is_target]])
-            counts[:, known] = model.counts[:, model.ranks[spot[known]]]
-            pair = np.full((2, len(own)), [[1.0], [is_target]])
-            pair[:, heavy[here]] = model.heavy_counts[:, at[heavy]]
-            sums += [np.bincount(row[own], weights=x, minlength=len(texts)).astype(np.float64) for x in model.losses(counts[:, own - 1], counts[:, own], pair)]
-        elsewhere = np.bincount(row[second[~here]], minlength=len(texts))
-        first = np.zeros(len(texts), np.uint64)
-        some = np.diff(bounds) > 0
-        first[some] = words[bounds[:-1][some]]
-        return [pa.array(np.diff(bounds).astype(np.int64)), pa.array(elsewhere), pa.array(first.view(np.int64), mask=~some), *(pa.array(sums[i]) for i in (0, 1, 3))]
-
-    fields = [T.StructField(c, T.LongType()) for c in ("n_tokens", "__elsewhere", "__first")] + [T.StructField(c, T.DoubleType()) for c in ("__s0", "__s1", "__s1t")]
-    told = stage_table(append_columns(docs.select(*others, "__id", text), text, compute, fields, keep_column=False), "own-losses")
-    told = told.withColumn("__s1", F.when(F.col("__id") % 2 != 0, F.col("__s1t")).otherwise(F.col("__s1")))
-    # the few words that begin texts, with counts
-    begun = told.select("__first").distinct().join(words.select(F.col("ngram").alias("__first"), "n", "target"), "__first")
-    told = told.join(begun, "__first", "left").join(sums, "__id", "left")
-    size = [float(x + (totals["words"] or 0) + 1) for x in tokens]
-    whole = [
-        F.col(f"__s{i}") - F.log((F.col(c) + 1) / size[i]) + F.coalesce(F.col(f"__l{i}") * F.col("__elsewhere") / F.col("__k"), F.lit(0.0))
-        for i, c in enumerate(("n", "target"))
-    ]
-    mean = [F.when(F.col("n_tokens") > 0, x / F.col("n_tokens")) for x in whole]
-    return told.select(*others, "n_tokens", mean[0].alias("background_loss"), mean[1].alias("target_loss"), (mean[0] - mean[1]).alias("score"))
+    own = F.xxhash64(text, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(64)))
+    marked = docs.withColumn("__id", own.bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(F.coalesce(F.col(target), F.lit(False)).cast("bigint")))
+    rows = marked.select(F.col(text).alias("text"), F.col(target).alias("is_target"), F.col("__id").alias("id"))
+    tokens, n_words = corpus_totals(rows)
+    pieces = sent(rows, int(tokens[0] // BUCKET_TOKENS) + 1).repartition("dest").sortWithinPartitions("dest")
+    counted = summed(pieces).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    losses = told_losses(counted, tokens, n_words).groupBy(F.col("id").alias("__id")).agg(*[F.max(c).alias(f"__{c}") for c in ("n_tokens", "l0", "l1")])
+    mean = [F.when(F.col("__n_tokens") > 0, F.col(c) / F.col("__n_tokens")) for c in ("__l0", "__l1")]
+    told = marked.select(*[F.col(f"`{c}`") for c in others], "__id").join(losses, "__id")
+    return told.select(*[F.col(f"`{c}`") for c in others], F.col("__n_tokens").alias("n_tokens"), mean[0].alias("background_loss"), mean[1].alias("target_loss"), (mean[0] - mean[1]).alias("score"))
 
 
 def with_targets(docs: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``is_target``: whether ``key`` is among those of ``targets``."""
     keys = targets.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull()).distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, F.col(key) == F.col("__key"), "left").withColumn("is_target", F.col("__key").isNotNull()).drop("__key")
+    few = keys.count() <= BROADCAST_KEYS
+    marked = docs.join(F.broadcast(keys) if few else keys, F.col(key) == F.col("__key"), "left").withColumn("is_target", F.col("__key").isNotNull()).drop("__key")
+    # rows that come out of a shuffle can come in another order if they are read again; staged ones can't
+    return marked if few else stage_table(marked, "marked")

@@ -271,7 +271,8 @@ def repeated_passages(
     numbered = numbered.withColumn("span", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     spans = numbered.groupBy("tid", "span").agg(F.min("low").alias("start"), (F.max("high") - F.min("low")).alias("n_words")).where(F.col("n_words") >= min_words)
     long_rows = listed.where(F.col("n_words") >= min_words).select("__key", "tid", "tie", "n_words")
-    copies = long_rows.groupBy("tid", "tie").agg(F.count("*").alias("n")).where("n > 1").select("tid", "tie")
+    # a table of its own, so that the joins with it can split a text with very many copies
+    copies = stage_table(long_rows.groupBy("tid", "tie").agg(F.count("*").alias("n")).where("n > 1").select("tid", "tie"), "copied-texts")
     whole = long_rows.join(copies, ["tid", "tie"], "left_semi").select(F.col("__key").alias(key), F.lit(0).cast("bigint").alias("start"), "n_words")
     single = long_rows.join(copies, ["tid", "tie"], "left_anti").select("__key", "tid")
     return single.join(spans, "tid").select(F.col("__key").alias(key), "start", "n_words").union(whole)

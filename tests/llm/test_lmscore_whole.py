@@ -31,10 +31,10 @@ def wanted(rows) -> dict:
     return found
 
 
-@pytest.mark.parametrize("broadcast,share", [(1_000_000, 1 / 2000), (50, 1 / 100), (0, 2)])
-def test_whole_scores(docs, corpus, spark, empty, monkeypatch, broadcast, share):
-    monkeypatch.setattr(lmscore, "BROADCAST_WORDS", broadcast)
-    monkeypatch.setattr(lmscore, "HEAVY_SHARE", share)
+@pytest.mark.parametrize("chunk,bucket", [(2_000_000, 2_000_000), (500, 3_000), (100_000, 900)])
+def test_whole_scores(docs, corpus, spark, empty, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(lmscore, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lmscore, "BUCKET_TOKENS", bucket)
     marked = docs.withColumn("is_target", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
     want = wanted([(t, i is not None and i % 2 == 0) for i, t, *_ in corpus])
     texts = collections.defaultdict(collections.Counter)
