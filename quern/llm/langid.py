@@ -6,9 +6,13 @@ its rows in one array a language and emits a row for each used bucket, which are
 after a shuffle. The matrix of smoothed log probabilities has (languages x buckets)
 entries, whatever the number of documents, and is broadcast. Texts are scored in blocks.
 
+Beside the posterior, which is near 1 on any long text, ``fit`` tells whether the text is
+in a learned language at all: its mean log probability of an n-gram less the language's
+own mean, whatever the length; near 0 for the language, many nats below for others.
+
 Defined results: the prediction is ``und`` with score 0 for a null text, for one without a
 letter, and if there was nothing to learn from; ties go to the first language by name; the
-score is the posterior of the predicted language; training skips null texts and languages;
+score is the posterior of the predicted language, and a text without a prediction has fit null; training skips null texts and languages;
 an empty table gives an empty result. Input columns named like a result are replaced.
 Only the text is looked at when predicting.
 """
@@ -58,22 +62,26 @@ class LanguageModel:
     log_probability: np.ndarray
     log_prior: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        score = np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior and fit of each text."""
+        score, fit = np.zeros(len(texts)), np.full(len(texts), np.nan)
         label = [UNKNOWN] * len(texts)
         rows = [i for i, t in enumerate(texts) if LETTER.search(t)] if self.languages else []
         if not rows:
-            return label, score
+            return label, score, fit
         grams, bounds = gram_buckets([texts[i] for i in rows])
         total = np.tile(self.log_prior, (len(rows), 1))
         for k in range(len(self.languages)):
             for bucket in grams:
                 total[:, k] += np.add.reduceat(self.log_probability[k][bucket], bounds[:-1])
         best = total.argmax(axis=1)
+        own = (np.exp(self.log_probability) * self.log_probability).sum(axis=1)
+        n_grams = ORDERS * np.diff(bounds)
+        fit[rows] = (total - self.log_prior)[np.arange(len(rows)), best] / n_grams - own[best]
         posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         for i, k, p in zip(rows, best.tolist(), posterior.tolist()):
             label[i], score[i] = self.languages[k], p
-        return label, score
+        return label, score, fit
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", smoothing: float = 0.5) -> LanguageModel:
@@ -105,15 +113,16 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", smoothing: f
     return LanguageModel(names, np.log(grams / grams.sum(axis=1, keepdims=True)), np.log(documents / max(documents.sum(), 1)))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """``docs`` with the predicted language, its posterior and the text's fit, called ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array, _: np.ndarray) -> list:
-        labels, score = shared.value.predict(texts.to_pylist())
-        return [pa.array(labels, pa.string()), pa.array(score)]
+        labels, score, fit = shared.value.predict(texts.to_pylist())
+        return [pa.array(labels, pa.string()), pa.array(score), pa.array(fit, mask=np.isnan(fit))]
 
-    return append_columns(docs, text, compute, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep_column=keep_text)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    return append_columns(docs, text, compute, [T.StructField(n, k) for n, k in zip(names, kinds)], keep_column=keep_text)
 
 
 def fold(key: str, folds: int = 4) -> Column:

@@ -115,8 +115,9 @@ def line_dedup(
     batches: int = 4,
     fanout: int = 4,
     out: str = "text",
+    names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with ``out``, the text without lines of frequent keys, ``n_lines`` and ``n_dropped``.
+    """``docs`` with ``out``, the text without lines of frequent keys, and the lines' number and that of dropped ones, called ``names``.
 
     ``batches``: rows are fed to the runs in so many batches, dealt out by the hash of
     column ``key``; the result doesn't depend on it.
@@ -140,7 +141,7 @@ def line_dedup(
         .groupBy("__r1", "__r2")
         .agg(F.collect_set("pos").alias("__dropped"))
     )
-    kept = [c for c in without(docs, ["n_lines", "n_dropped", out]).columns]
+    kept = [c for c in without(docs, [*names, out]).columns]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], *row, lines_of(F.col(text)).alias("__lines"))
     n_lines, dropped = F.size("__lines"), F.col("__dropped")
     places = F.array_except(F.sequence(F.lit(0), n_lines - 1), dropped)
@@ -148,6 +149,6 @@ def line_dedup(
     return rows.join(hits, ["__r1", "__r2"], "left").select(
         *[F.col(f"`{c}`") for c in kept],
         F.when(dropped.isNull(), F.array_join("__lines", "\n")).otherwise(reduced).alias(out),
-        n_lines.cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(dropped), F.lit(0)).cast("bigint").alias("n_dropped"),
+        n_lines.cast("bigint").alias(names[0]),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("bigint").alias(names[1]),
     )

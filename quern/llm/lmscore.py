@@ -24,7 +24,6 @@ empty result. Input columns named like a result are replaced.
 from __future__ import annotations
 
 import pickle
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.decontamination import token_rows
-from quern.llm.textblocks import append_columns, blocks, gram_hashes, mixed, without
+from quern.llm.textblocks import KEY_BITS, append_columns, blocks, gram_hashes, mixed, packed, unpacked, without
 from quern.session import map_arrow, stage_table
 
 #: Tokens of a chunk of texts, and of the corpus for each bucket of n-grams.
@@ -153,9 +152,6 @@ def score(docs: DataFrame, models: MatchedModels, text: str = "text", keep_text:
     return append_columns(docs, text, compute, fields, keep_column=keep_text)
 
 
-KEY_BITS = 56
-
-
 def ngram_hashes(words: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all distinct words (even) and of bigrams (odd), by their words' hashes."""
     shift, one = np.uint64(64 - KEY_BITS), np.uint64(1)
@@ -201,20 +197,6 @@ class Chunk:
         return np.stack([np.bincount(row, weights=-np.log(x), minlength=len(self.sizes)) for x in given])
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers by byte planes: all low bytes, then all second bytes, and so on; compressed."""
-    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(wide[:, :width].T).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, : data[0]] = planes.T
-    return wide.view("<u8")[:, 0]
-
-
 def sent(rows: DataFrame, n_buckets: int) -> DataFrame:
     """(dest, chunk, bucket, a, b, c): n-grams of chunks for the buckets, and the chunks themselves (bucket -1)."""
 

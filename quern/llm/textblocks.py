@@ -7,6 +7,7 @@ is bounded by the longest text and never by the size of a partition.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -189,3 +190,21 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:], dtype=np.int64)
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+#: Bits of the hashed keys that are dealt out by range.
+KEY_BITS = 56
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers by byte planes: all low bytes, then all second bytes, and so on; compressed."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(wide[:, :width].T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8")[:, 0]

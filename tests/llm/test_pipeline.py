@@ -7,12 +7,14 @@ import collections
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import langid
 from quern.llm.queries import ORACLES, QUERIES
 from quern.session import stage_table
-from tests.llm.test_corpus_operators import brute_components, words
-from tests.llm.test_text_operators import fingerprint, strip_key
+from tests.llm.test_corpus_operators import words
+from tests.llm.test_neardup import brute_groups
+from tests.llm.test_text_operators import strip_key
 
 
 def test_stages(spark, docs, corpus, sf_dir, tmp_path):
@@ -32,7 +34,7 @@ def test_stages(spark, docs, corpus, sf_dir, tmp_path):
     frame = run(0)
     got = collections.Counter(tuple(r) for r in frame.collect())
     told = dict(zip([r[1] for r in rows], zip(*model.predict([r[1] or "" for r in rows]))))
-    want = collections.Counter(r for r in rows if told[r[1]][0] != "und" and told[r[1]][1] >= 0.5)
+    want = collections.Counter(r for r in rows if told[r[1]][0] != "und" and told[r[1]][1] >= 0.5 and told[r[1]][2] >= -5)
     assert got == want
 
     rows = list(got.elements())
@@ -44,10 +46,10 @@ def test_stages(spark, docs, corpus, sf_dir, tmp_path):
     rows = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(rows, kept)]
     assert collections.Counter(tuple(r) for r in frame.collect()) == collections.Counter(rows)
 
-    root = brute_components({fingerprint(r[1]) for r in rows})
+    root = brute_groups({r[1] for r in rows})
     frame = run(2)
     stay = [tuple(r) for r in frame.collect()]
-    assert sorted(root[fingerprint(r[1])] for r in stay) == sorted(set(root.values()))
+    assert sorted(root[r[1]] for r in stay) == sorted(set(root.values()))
     assert set(stay) <= set(rows)
 
     frame = run(3)
@@ -61,6 +63,31 @@ def test_stages(spark, docs, corpus, sf_dir, tmp_path):
     assert all(r["n_tokens"] == len(r["ids"]) for r in last)
 
 
+@pytest.mark.parametrize("i", range(5))
+def test_stage_on_odd_tables(spark, docs, empty, sf_dir, i):
+    """Empty tables, and columns that are called like what the operators add."""
+    stage = corpus_pipeline.STAGES[i][1]
+    added = ["n_tokens", "ids"] if i == 4 else []
+    none = stage(spark, empty, sf_dir)
+    assert none.columns == empty.columns + added and none.count() == 0
+    extra = {c: F.lit(f"my {c}") for c in ("score", "lang_pred", "fit", "n_lines", "n_dropped", "fp", "f0", "label", "component", "hit", "decoded", "tid", "key", "item", "a b")}
+    plain = sorted(str(tuple(r)) for r in stage(spark, docs, sf_dir).collect())
+    clash = stage(spark, docs.withColumns(extra | ({"ids": F.lit(1), "N_Tokens": F.lit(2)} if i == 4 else {})), sf_dir)
+    assert clash.columns == docs.columns + list(extra) + added
+    rows = clash.collect()
+    assert all(r[c] == f"my {c}" for r in rows for c in extra)
+    assert sorted(str(r[:5] + r[-len(added):] if added else r[:5]) for r in map(tuple, rows)) == plain
+
+
+def test_language_stage_rejects_other_scripts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = {-1: "Это предложение написано на русском языке и должно быть отклонено.", -2: "这是一个用中文写的句子，应该被拒绝。", -3: "xqzj wvkp qqzx jjvk zzxq wkpv " * 9, -4: "12 34 56"}
+    added = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in odd.items()], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.union(added), sf_dir).select("doc_id").collect()}
+    ours = {r["doc_id"] for r in docs.where("text is not null").select("doc_id").collect()}
+    assert not kept & set(odd) and len(ours - kept) <= 0.01 * len(ours)
+
+
 def test_run(spark, sf_dir):
     done = corpus_pipeline.run(spark, sf_dir)
     assert 0 < done.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
