@@ -9,9 +9,9 @@ next segment) pair holds the exact bits and the index of a codeword of the perfe
 values with one bit flipped, one to six different ones, so values with one or two
 differing bits share a key, and most with three or four do. No link is lost.
 
-``one_of_each`` takes a wider measure: 256 bits over the set of five-word shingles, linked
-where at least 0.8125 of the bits agree (48 or fewer differ), as the fingerprints of sets with
-a Jaccard similarity of 0.8 nearly always do. Eleven segments of 23 bits stand in a ring, and
+``one_of_each`` takes a wider measure: 192 bits over the set of five-word shingles, linked
+where at least 0.8125 of the bits agree (36 or fewer differ), as the fingerprints of sets with
+a Jaccard similarity of 0.8 nearly always do. Eight segments of 23 bits stand in a ring, and
 a key holds the codeword indices of two neighbours: texts that link agree, but for few
 errors, in some two neighbouring segments. The keys find all but few links (see README).
 
@@ -244,7 +244,7 @@ class Measure:
 
 
 NARROW = Measure(1, 2, lambda fps: fuzzy_keys(fps[:, 0]), 16, 1_000_000)
-WIDE = Measure(4, 48, ring_keys, 308, 3_000_000)
+WIDE = Measure(3, 36, ring_keys, 224, 1_000_000)
 #: Fingerprints whose keys a task makes at once, and pairs that it compares at once.
 KEYED, COMPARED = 2048, 250_000
 

@@ -28,11 +28,11 @@ def prints_of(texts: list) -> dict:
     return {t: tuple(map(int, fp)) for t, fp in zip(texts, table)}
 
 
-def brute_groups(texts, radius: int = 48) -> dict:
+def brute_groups(texts, radius: int = 36) -> dict:
     """The group of each text, by all pairs of fingerprints."""
     prints = prints_of(list(texts))
     fps = sorted(set(prints.values()))
-    table = np.array(fps, np.uint64).reshape(-1, 4)
+    table = np.array(fps, np.uint64).reshape(-1, 3)
     parent = list(range(len(fps)))
 
     def find(x):
