@@ -8,7 +8,7 @@ SQL can't express the stages; their tests compare them with brute force.
 Rejected: rows without a letter, whose best language has a posterior under one half, or
 that fit it badly (a mean log probability of an n-gram 5 nats under the language's own, as
 texts in other scripts and random letters have); lines found in ten documents or more; all
-but one of each group of near-duplicates (256-bit fingerprints of the five-word shingles
+but one of each group of near-duplicates (192-bit fingerprints of the five-word shingles
 that agree in 0.8125 of their bits, linked directly or by others); rows that overlap a
 benchmark item. Of a group the row with the smallest doc_id stays, null ids last, and of
 rows equal in id and text any.
