@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words; words under a 0 are ignored, so a
 survives substitutions there. Training and benchmark texts are hashed under every mask at
 every place, equal hashes are joined, and each hit gives a diagonal: training place less
 benchmark place. Along a hit's diagonal the words of both texts are compared one to one,
-with substitutions allowed, and the best scoring stretch is taken. It counts as an
+with substitutions allowed, and the best scoring stretch is taken, then the best left and
+right of it; one with too many differing words is split at its longest gap. It counts as an
 overlap if at least ``min_match`` of its words agree, or half of the item's where that is
 fewer but still as long as a seed, and these are at least ``identity`` of the stretch.
 
@@ -20,6 +21,8 @@ each; empty tables give an empty result. Names of further columns don't matter.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +32,10 @@ from pyspark.sql import types as T
 
 from quern.llm.textblocks import LOWER, SPACE, TOKEN_POWERS, WORD, append_columns, flat_bytes, flat_ranges, mixed, span_hashes, word_spans
 
-#: Masks over words: weight 8 in a span of 8 to 13, so one substitution in every stretch of some 9 words is survived.
-MASKS = ("11111111", "1110110101011", "1101011000110111", "111011001011011")
+#: Masks over words: weights 6 to 10 in spans of 8 to 16. The short ones find items of 8 to 20 words with substitutions.
+MASKS = ("11111111", "11011011", "110110011", "1110110101011", "1101011000110111", "111011001011011")
+#: Pairs of equal seeds that are listed at once.
+LISTED = 1_000_000
 #: Most benchmark bytes in one broadcast block.
 BLOCK_LIMIT = 8 << 20
 #: What a differing word costs against what an equal one gains.
@@ -81,7 +86,8 @@ class SeedIndex:
         """(text, item, first word, first item word, length, words that agree) of each overlap."""
         tokens, bounds = token_rows(pc.utf8_lower(texts), WORD)
         row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        pairs = []
+        # a diagonal of a text and an item is compared once, however many seeds lie on it
+        diagonals = [np.zeros(0, np.uint64)]
         for mask, (keys, order, present) in zip(self.masks, self.seeds):
             hashes = seed_hashes(tokens, mask)
             if not len(hashes) or not len(keys):
@@ -90,14 +96,20 @@ class SeedIndex:
             at = at[row[at] == row[at + len(mask) - 1]]
             low = np.searchsorted(keys, hashes[at], "left")
             n = np.searchsorted(keys, hashes[at], "right") - low
-            pairs.append((np.repeat(at, n), order[flat_ranges(low, n)]))
-        if not pairs:
-            return []
-        place, other = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        # a diagonal of a text and an item is compared once
-        diagonals = np.unique(np.stack([row[place], self.item[other], place - other], axis=1), axis=0)
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            parts = np.searchsorted(np.cumsum(n), np.arange(LISTED, n.sum() + LISTED, LISTED), "right")
+            first = 0
+            for last in parts.tolist():
+                last = max(last, first + 1)
+                place, other = np.repeat(at[first:last], n[first:last]), order[flat_ranges(low[first:last], n[first:last])]
+                diagonals.append(np.unique((row[place] << 44) | (self.item[other] << 24) | (place - other + (1 << 23))).astype(np.uint64))
+                first = last
+                if first >= len(at):
+                    break
+        codes = np.unique(np.concatenate(diagonals)).astype(np.int64)
+        listed = zip((codes >> 44).tolist(), (codes >> 24 & 0xFFFFF).tolist(), ((codes & 0xFFFFFF) - (1 << 23)).tolist())
         found = []
-        for r, item, shift in diagonals.tolist():
+        for r, item, shift in listed:
             first = max(int(bounds[r]), int(self.bounds[item]) + shift)
             last = min(int(bounds[r + 1]), int(self.bounds[item + 1]) + shift)
             same = tokens[first:last] == self.tokens[first - shift : last - shift]
@@ -119,20 +131,35 @@ class SeedIndex:
             b = int(rise.argmax())
             a = int(sums[: b + 1].argmin())
             agree = int(part[a:b].sum())
-            if agree < need or agree < self.identity * (b - a):
-                continue
-            found.append((low + a, low + b, agree))
             open_parts += [(low, low + a), (low + b, high)]
+            if agree >= need and agree >= self.identity * (b - a):
+                found.append((low + a, low + b, agree))
+            elif agree >= need:
+                # too many words differ: both sides of the longest gap
+                turns = np.flatnonzero(np.diff(np.r_[True, part[a:b], True].astype(np.int8)))
+                gap = int((turns[1::2] - turns[::2]).argmax())
+                open_parts += [(low + a, low + a + int(turns[2 * gap])), (low + a + int(turns[2 * gap + 1]), low + b)]
         return sorted(found)
 
 
+_INDEXES: dict[str, SeedIndex] = {}
+
+
+def index_of(name: str, shared) -> SeedIndex:
+    """The index of a broadcast block, built once in a worker and kept until the next one is."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = SeedIndex(*shared.value)
+    return _INDEXES[name]
+
+
 OVERLAP = "array<struct<item:int,start:bigint,item_start:bigint,length:bigint,matched:bigint>>"
 ARROW_OVERLAP = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64()), ("matched", pa.int64())]))
 
 
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, limit: int):
     """The benchmark in blocks of about ``limit`` bytes, each as an Arrow table; one block is held at a time."""
-    total = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    total = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
     n = -(-total // limit)
     for i in range(n):
         yield benchmark.select(item, text).where(F.pmod(F.xxhash64(item, text), F.lit(n)) == i).toArrow().combine_chunks()
@@ -156,21 +183,20 @@ def overlaps(
     for block in benchmark_blocks(benchmark, item, item_text, limit):
         texts = block.column(item_text).combine_chunks()
         shared = spark.sparkContext.broadcast((texts.fill_null(""), masks, min_match, identity))
-        built: list[SeedIndex] = []
+        name = uuid.uuid4().hex
 
-        def compute(rows: pa.Array, _: np.ndarray, shared=shared, built=built) -> list:
-            if not built:
-                built.append(SeedIndex(*shared.value))
+        def compute(rows: pa.Array, _: np.ndarray, shared=shared, name=name) -> list:
+            index = index_of(name, shared)
             listed: list[list[dict]] = [[] for _ in range(len(rows))]
-            for r, i, start, item_start, length, matched in built[0].overlaps(rows):
+            for r, i, start, item_start, length, matched in index.overlaps(rows):
                 listed[r].append({"item": i, "start": start, "item_start": item_start, "length": length, "matched": matched})
             return [pa.array(listed, ARROW_OVERLAP)]
 
         field = T.StructField("__overlaps", T.StructType.fromDDL(f"x {OVERLAP}")[0].dataType)
-        found = append_columns(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text", compute, [field], keep_column=False)
-        names = spark.createDataFrame(pa.table({"__item": pa.array(np.arange(len(texts)), pa.int32()), item: block.column(item)}))
-        rows = found.where(F.size("__overlaps") > 0).select("__key", F.inline("__overlaps"))
-        parts.append(rows.join(F.broadcast(names), rows["item"] == names["__item"]).select(F.col("__key").alias(key), F.col(f"`{item}`" if item != "item" else names["item"]), "start", "item_start", "length", "matched"))
+        found = append_columns(docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__text", compute, [field], keep_column=False)
+        names = spark.createDataFrame(pa.table({"__item": pa.array(np.arange(len(texts)), pa.int32()), "__name": block.column(item)}))
+        rows = found.where(F.size("__overlaps") > 0).select("__key", F.inline("__overlaps")).withColumnRenamed("item", "__item")
+        parts.append(rows.join(F.broadcast(names), "__item").select(F.col("__key").alias(key), F.col("__name").alias(item), "start", "item_start", "length", "matched"))
     if not parts:
         schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), *[T.StructField(c, T.LongType()) for c in ("start", "item_start", "length", "matched")]])
         return spark.createDataFrame([], schema)
@@ -187,13 +213,12 @@ def decontaminated(
     spark = docs.sparkSession
     for block in benchmark_blocks(benchmark, item, item_text, limit):
         shared = spark.sparkContext.broadcast((block.column(item_text).combine_chunks().fill_null(""), masks, min_match, identity))
-        built: list[SeedIndex] = []
+        name = uuid.uuid4().hex
 
-        def compute(rows: pa.Array, _: np.ndarray, shared=shared, built=built) -> list:
-            if not built:
-                built.append(SeedIndex(*shared.value))
+        def compute(rows: pa.Array, _: np.ndarray, shared=shared, name=name) -> list:
+            index = index_of(name, shared)
             hit = np.zeros(len(rows), bool)
-            hit[[found[0] for found in built[0].overlaps(rows)]] = True
+            hit[[found[0] for found in index.overlaps(rows)]] = True
             return [pa.array(hit)]
 
         docs = append_columns(docs, text, compute, [T.StructField("__hit", T.BooleanType())]).where(~F.col("__hit")).drop("__hit")

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,57 @@ def test_decontamination(spark, empty):
     assert decontamination.decontaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def brute_overlaps(text: str, item: str, index) -> set[tuple[int, int]]:
+    """(start, item start) of the stretches on all diagonals that hold a seed of some mask."""
+    w, p, found = folded(text), folded(item), set()
+    for shift in range(-len(p), len(w)):
+        same = np.array([w[i] == p[i - shift] for i in range(max(0, shift), min(len(w), len(p) + shift))], bool)
+        seeded = any(all(same[i + j] for j, bit in enumerate(m) if bit == "1") for m in index.masks for i in range(len(same) - len(m) + 1))
+        if seeded:
+            found |= {(max(0, shift) + a, max(0, shift) + a - shift) for a, _, _ in index.stretches(same, len(p))}
+    return found
+
+
+def test_decontamination_against_all_diagonals():
+    rng = random.Random(2)
+    draw = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    items = [" ".join(draw(n)) for n in (8, 12, 20, 40)] + ["go " * 30, "go stop " * 20, "", "a b"]
+    texts = []
+    for _ in range(40):
+        w = draw(rng.randrange(0, 60))
+        part = items[rng.randrange(6)].split()
+        part = [x if rng.random() > 0.15 else "other" for x in part]
+        w[len(w) // 2 : len(w) // 2] = part
+        texts.append(" ".join(w))
+    index = decontamination.SeedIndex(pa.array(items), decontamination.MASKS, 13, 0.8)
+    got = index.overlaps(pa.array(texts))
+    want = {(t, i, a, b) for t, text in enumerate(texts) for i, item in enumerate(items) for a, b in brute_overlaps(text, item, index)}
+    assert {(t, i, a, b) for t, i, a, b, _, _ in got} == want and len(want) > 30
+
+
+def test_stretches_go_on_beside_rejected_ones():
+    index = decontamination.SeedIndex(pa.array(["x"]), decontamination.MASKS, 13, 0.8)
+    run = lambda *parts: np.array([bool(x) for n, x in parts for _ in range(n)])
+    assert index.stretches(run((12, 1), (5, 0), (7, 1), (1, 0), (7, 1)), 60) == [(17, 32, 14)]
+    six = run(*[(13, 1), (4, 0)] * 6)
+    assert index.stretches(six, 200) == [(0, 13, 13), (17, 98, 65)]
+
+
+def test_decontamination_of_one_word_over_and_over(monkeypatch):
+    """Millions of equal seeds: their diagonals are found piece by piece."""
+    index = decontamination.SeedIndex(pa.array(["go " * 300]), decontamination.MASKS, 13, 0.8)
+    monkeypatch.setattr(decontamination, "LISTED", 10_000)
+    got = index.overlaps(pa.array(["go " * 3000, "stop"]))
+    assert {x[0] for x in got} == {0} and len({x[2] - x[3] for x in got}) == len(got) > 3000
+
+
+def test_decontamination_names(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item long, text string")
+    bench = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(30)))], "item long, start string").withColumnRenamed("start", "text")
+    found = decontamination.overlaps(docs.withColumnRenamed("item", "doc_id"), bench, item="item").collect()
+    assert [(r["doc_id"], r["item"], r["length"]) for r in found] == [(1, 7, 30)]
+
+
 def test_language_model_counts_and_losses(docs, corpus, spark, empty):
     targets = spark.createDataFrame([(i,) for i in range(0, 100, 2)] + [(None,), (4,)], "doc_id long")
     marked = lmscore.with_targets(docs, targets)
