@@ -2,9 +2,11 @@
 
 Each text gives a vector of transformed statistics. For each language and source the
 location and scatter of these vectors are estimated by minimum covariance determinant:
-starting from medians and absolute deviations, concentration steps keep the ``share`` of
-rows with the smallest Mahalanobis distance and take their mean and covariance, until a
-fixed number of steps. A row is rejected if its squared distance from its own group's
+concentration steps keep the ``share`` of rows with the smallest Mahalanobis distance and
+take their mean and covariance, which never raises the determinant. They run a fixed
+number of times from two starts, medians with absolute deviations alone and these with
+the correlations of squeezed values (tanh of standardised ones); of the two results the
+one with the least determinant is taken, on a tie the first. A row is rejected if its squared distance from its own group's
 estimate is beyond the chi-square ``quantile``. All steps are aggregations over a narrow table of statistics, with
 partial sums before the shuffle, so a source with a third of all rows is no hot spot;
 the distance that bounds the kept share is found in a histogram of bounded size. A small
@@ -34,6 +36,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Least standard deviation of each statistic.
 FLOORS = (0.5, 0.4, 0.08, 0.08, 0.12)
 DIM = len(FLOORS)
+#: What is added to each variance, as a share of it.
+RIDGE = 1e-6
 
 
 def text_counts(texts: pa.Array) -> list[np.ndarray]:
@@ -119,15 +123,20 @@ def chi2_quantile(p: float, k: int) -> float:
 def distance() -> Column:
     """Squared Mahalanobis distance of __x0.. from the joined estimate (mu, inverse)."""
     away = [F.col(f"__x{i}") - F.get("__mu", F.lit(i)) for i in range(DIM)]
-    return sum(
+    squared = sum(
         (away[i] * away[j] * F.get("__inverse", F.lit(i * DIM + j)) * (1 if i == j else 2) for i in range(DIM) for j in range(i, DIM)),
         F.lit(0.0),
     )
+    return F.when(squared < 0, 0.0).otherwise(squared)  # rounding, in groups of few rows
 
 
-def estimates(moments: DataFrame, groups: list[str], scale: float) -> DataFrame:
-    """(groups, mu, inverse) from n, s0.. and s0_0.. of each group."""
-    schema = T.StructType([moments.schema[g] for g in groups] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__mu", "__inverse")])
+def estimates(moments: DataFrame, groups: list[str], scale: float, squeezed: bool = False) -> DataFrame:
+    """(groups, mu, inverse, log determinant) from n, s0.. and s0_0.. of each group.
+
+    ``squeezed``: the moments give correlations only; __mu and the deviations d0.. are given.
+    """
+    fields = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("__mu", "__inverse")] + [T.StructField("__logdet", T.DoubleType())]
+    schema = T.StructType([moments.schema[g] for g in groups] + fields)
     pairs = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
     def run(batches):
@@ -138,12 +147,19 @@ def estimates(moments: DataFrame, groups: list[str], scale: float) -> DataFrame:
             cov = np.zeros((len(n), DIM, DIM))
             for i, j in pairs:
                 cov[:, i, j] = cov[:, j, i] = get(f"s{i}_{j}") / n - mu[:, i] * mu[:, j]
+            if squeezed:
+                mu = np.array(batch.column("__mu").to_pylist(), float).reshape(-1, DIM)
+                own, given = np.sqrt(np.maximum(np.einsum("nii->ni", cov), 0)), np.stack([get(f"d{i}") for i in range(DIM)], axis=1)
+                ratio = given / np.where(own > 1e-9, own, 1)
+                cov *= ratio[:, :, None] * ratio[:, None, :]
+                np.einsum("nii->ni", cov)[:] = given**2
             cov *= scale
             own = np.einsum("nii->ni", cov)
-            own[:] = np.maximum(own, np.square(FLOORS)) * (1 + 1e-9)  # still regular where statistics go together
+            own[:] = np.maximum(own, np.square(FLOORS)) * (1 + RIDGE)  # still regular where statistics go together
             inverse = np.linalg.inv(cov)
             arrays = [pa.array(list(x.reshape(len(n), -1)), pa.list_(pa.float64())) for x in (mu, inverse)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(g) for g in groups], *arrays], names=[*groups, "__mu", "__inverse"])
+            arrays.append(pa.array(np.linalg.slogdet(cov)[1]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(g) for g in groups], *arrays], names=[*groups, "__mu", "__inverse", "__logdet"])
 
     return map_arrow(moments, run, schema)
 
@@ -155,6 +171,11 @@ def with_estimate(rows: DataFrame, estimate: DataFrame, groups: list[str], how:
     return rows.join(theirs, match, how).drop(*[f"__{g}" for g in groups])
 
 
+def moments_of(xs: list[str]) -> list[Column]:
+    products = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
+    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *products]
+
+
 def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.75, steps: int = 4) -> DataFrame:
     """(groups, mu, inverse): minimum-covariance-determinant estimates of __x0.. for each group."""
     xs = [f"__x{i}" for i in range(DIM)]
@@ -162,12 +183,21 @@ def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.
     centred = with_estimate(rows, stage_table(median, "medians"), groups)
     spread = centred.groupBy(*groups).agg(
         F.first("__mu").alias("__mu"),
-        *[F.percentile_approx(F.abs(F.col(x) - F.get("__mu", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(xs)],
+        *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(x) - F.get("__mu", F.lit(i))), 0.5, 1000), F.lit(FLOORS[i])).alias(f"d{i}") for i, x in enumerate(xs)],
     )
+    spread = stage_table(spread, "spreads")
     start = [[F.lit(0.0)] * DIM for _ in range(DIM)]
     for i in range(DIM):
-        start[i][i] = 1 / F.greatest(F.pow(1.4826 * F.col(f"d{i}"), 2), F.lit(FLOORS[i] ** 2))
-    estimate = stage_table(spread.select(*groups, "__mu", F.array(*[v for line in start for v in line]).alias("__inverse")), "estimates")
+        start[i][i] = F.pow(f"d{i}", F.lit(-2.0))
+    plain = spread.select(*groups, "__mu", F.array(*[v for line in start for v in line]).alias("__inverse"))
+    given = spread.select(*[F.col(g).alias(f"__{g}") for g in groups], "__mu", *[f"d{i}" for i in range(DIM)])
+    standard = rows.join(given, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]).drop(*[f"__{g}" for g in groups])
+    standard = standard.withColumns({x: F.tanh((F.col(x) - F.get("__mu", F.lit(i))) / F.col(f"d{i}")) for i, x in enumerate(xs)})
+    squeezed = standard.groupBy(*groups).agg(*moments_of(xs), F.first("__mu").alias("__mu"), *[F.first(f"d{i}").alias(f"d{i}") for i in range(DIM)])
+    correlated = estimates(squeezed, groups, 1.0, squeezed=True).drop("__logdet")
+    estimate = stage_table(plain.withColumn("__start", F.lit(0)).unionByName(correlated.withColumn("__start", F.lit(1))), "estimates")
+    rows, owners = rows.withColumn("__start", F.explode(F.array(F.lit(0), F.lit(1)))), groups
+    groups = [*groups, "__start"]
     # of a normal sample, the covariance of the nearest share is too small by this factor
     scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
     for _ in range(steps):
@@ -184,13 +214,9 @@ def covariance_determinant(rows: DataFrame, groups: list[str], share: float = 0.
         )
         cuts = per_group.select(*[F.col(g).alias(f"__{g}") for g in groups], walked["cut"].alias("cut"))
         nearest = placed.join(cuts, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]).where("bin <= cut")
-        moments = nearest.groupBy(*groups).agg(
-            F.count("*").alias("n"),
-            *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-            *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i, DIM)],
-        )
-        estimate = stage_table(estimates(moments, groups, scale), "estimates")
-    return estimate
+        estimate = stage_table(estimates(nearest.groupBy(*groups).agg(*moments_of(xs)), groups, scale), "estimates")
+    least = F.min(F.struct(F.round("__logdet", 6).alias("logdet"), "__start", "__mu", "__inverse")).alias("least")
+    return estimate.groupBy(*owners).agg(least).select(*owners, "least.__mu", "least.__inverse")
 
 
 def quality_rules(
